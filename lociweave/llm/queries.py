@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, token_counts, token_file
 
 _MODULES = {
+    "op2_token_counts": token_counts,
     "op5_decontaminate": decontaminate,
+    "op10_token_file": token_file,
 }
 
 
