@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, token_counts, token_file
+from . import decontaminate, token_counts, token_file, topk, warc
 
 _MODULES = {
     "op2_token_counts": token_counts,
     "op5_decontaminate": decontaminate,
+    "op6_warc": warc,
+    "op7_topk": topk,
     "op10_token_file": token_file,
 }
 
