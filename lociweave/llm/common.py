@@ -70,7 +70,7 @@ def left_join_hot(rows: DataFrame, key: str, side: DataFrame, counts: DataFrame,
     ``counts``: (key, n), for the keys of ``side`` at least. Keys with more than HOT_SHARE of ``total`` rows,
     at most 1 / HOT_SHARE of them, are broadcast; the rest is shuffled, rows of hot keys being spread evenly.
     """
-    least = max(1, int(total * HOT_SHARE))
+    least = max(100, int((total or 0) * HOT_SHARE))
     hot = counts.where(F.col("n") > least).select(F.col(key).alias("_hot")).limit(int(1 / HOT_SHARE) + 1)
     values = [c for c in side.columns if c != key]
     big = side.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, token_counts, token_file, topk, warc
+from . import decontaminate, simhash, token_counts, token_file, topk, warc
 
 _MODULES = {
     "op2_token_counts": token_counts,
     "op5_decontaminate": decontaminate,
     "op6_warc": warc,
     "op7_topk": topk,
+    "op8_simhash": simhash,
     "op10_token_file": token_file,
 }
 
