@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash, token_counts, token_file, topk, warc
+from . import decontaminate, secrets, simhash, token_counts, token_file, topk, warc
 
 _MODULES = {
+    "op1_secrets": secrets,
     "op2_token_counts": token_counts,
     "op5_decontaminate": decontaminate,
     "op6_warc": warc,
