@@ -8,6 +8,8 @@ stripes and row groups by their statistics and Bloom filters.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ END_ID = 1
 FILES = "doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>"
 ORC = {"orc.compress": "ZSTD", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 #: Entries in each of the two generations of the chunk cache of a Python worker.
-CACHE = 300_000
+CACHE = 400_000
 _CONTROL = "\x1c\x1d\x1e\x1f"  # split by str.split, but not white space to the tokenizer
 
 
@@ -31,33 +33,56 @@ class ChunkEncoder:
     """The ids of texts, by white-space-separated chunks: this tokenizer's pieces and special strings never span white space."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.bare = Tokenizer.from_file(path)  # the same model for words that are normal already
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.marks = {m: self._whole([m])[0] for m in ".,"}
 
     def _whole(self, items: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of normal lower-case words of letters alone, by lines: each word is a piece and ends with the only word-end token in it."""
+        out: list[bytes] = []
+        lines = [words[i : i + 100] for i in range(0, len(words), 100)]
+        for part, x in zip(lines, self.bare.encode_batch_fast([" ".join(p) for p in lines], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            raw = ids.tobytes()
+            out += [raw[4 * x : 4 * y] for x, y in zip([0, *cuts], cuts, strict=False)]
+        return out
+
     def _learn(self, chunks: set[str]) -> None:
-        young, old, base = self.young, self.old, {}
-        for c in chunks:
-            if c in young:
-                continue
-            if (ids := old.get(c)) is not None:
-                young[c] = ids
-                continue
-            plain = "<|" not in c  # else it may hold a special string
-            mark = c[-1] if plain and len(c) > 1 and c[-1] in self.marks and c[-2].isalpha() else ""
-            stem = c[:-1] if mark else c
-            base[c] = (stem.lower() if plain and stem.isascii() else stem, mark)
-        stems = list({s for s, _ in base.values() if s not in young})
-        for i in range(0, len(stems), 20_000):
-            young.update(zip(stems[i : i + 20_000], self._whole(stems[i : i + 20_000]), strict=True))
-        for c, (stem, mark) in base.items():
-            young[c] = young[stem] + self.marks[mark] if mark else young[stem]
+        young, old, marks = self.young, self.old, self.marks
+        new = chunks.difference(young)
+        kept = new.intersection(old)
+        young.update((c, old[c]) for c in kept)
+        new -= kept
+        stems, ending, other = set(), [], []
+        for c in new:
+            word, mark = (c[:-1], c[-1]) if c[-1] in marks else (c, "")
+            if word.isalpha():
+                low = word.lower() if word.isascii() else word
+                if low == word.lower() and (low.isascii() or unicodedata.is_normalized("NFC", low)):  # nothing left to normalise
+                    stems.add(low)
+                    if c != low:
+                        ending.append((c, low, mark))
+                    continue
+            other.append(c)
+        stems.difference_update(young)
+        words = list(stems)
+        young.update(zip(words, self._words(words), strict=True))
+        for i in range(0, len(other), 20_000):
+            young.update(zip(other[i : i + 20_000], self._whole(other[i : i + 20_000]), strict=True))
+        young.update((c, young[low] + marks[mark] if mark else young[low]) for c, low, mark in ending)
 
     def encode(self, items: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -85,7 +110,7 @@ def _encode(path: str | None, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             items = texts(batch)
-            for lo, hi in groups_of(items, 1 << 20):
+            for lo, hi in groups_of(items):
                 ids = [x + end for x in known.encode(items[lo:hi])]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(n)])
