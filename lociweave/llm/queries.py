@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash, token_counts, token_file, topk, toxicity, warc
+from . import decontaminate, mixing, secrets, simhash, token_counts, token_file, topk, toxicity, warc
 
 _MODULES = {
     "op1_secrets": secrets,
     "op2_token_counts": token_counts,
     "op3_toxicity": toxicity,
+    "op4_mixing": mixing,
     "op5_decontaminate": decontaminate,
     "op6_warc": warc,
     "op7_topk": topk,
