@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, secrets, simhash, token_counts, token_file, topk, toxicity, warc
+from . import decontaminate, mixing, pii, secrets, simhash, token_counts, token_file, topk, toxicity, warc
 
 _MODULES = {
     "op1_secrets": secrets,
@@ -13,6 +13,7 @@ _MODULES = {
     "op6_warc": warc,
     "op7_topk": topk,
     "op8_simhash": simhash,
+    "op9_pii": pii,
     "op10_token_file": token_file,
 }
 
