@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import dna as D
-from ..operators import align, cluster, graph, matrix, stats
+from ..functions import dna as D, kernels
+from ..operators import align, cluster, correct, graph, matrix, models, query, stats
 from ..sources import views as V
-from ..sources.stage import written
+from ..sources.stage import prepared, written
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -446,3 +447,117 @@ def updated_annotations(spark, sf):
     per = g.groupBy("cluster", "genome").agg((F.count("*") > 1).alias("paralog"))
     text = F.concat(F.lit("ID="), F.concat_ws("_", F.col("genome").cast("string"), F.col("contig").cast("string"), F.col("ix").cast("string")), F.lit(";cluster="), "cluster", F.when(F.col("paralog"), ";paralog=true").otherwise(""))
     return g.join(per, ["cluster", "genome"]).select("genome", "contig", "ix", text.alias("attributes"))
+
+
+# correction, questions and models
+
+
+@_query(f"{ORDER_GRAPH} select a, b, support from ed")
+def integrate_genome(spark, sf):
+    g = V.order_genes(spark, sf)
+    old = g.where("genome <> 24")
+    return graph.edges(correct.integrate(matrix.presence(old), graph.edge_members(old), g.where("genome = 24"))[1])
+
+
+@_query(f"""{EVENTS}, {PREV}, {EM}, tw as (select cluster from (select cluster, count(*) as c, count(distinct genome) as g from genes group by cluster) where c > g),
+  nm as (select cluster, min(case when cluster in (select cluster from tw) then cluster || '#' || genome || '_' || contig || '_' || ix else cluster end) as name from genes group by cluster)
+  select least(x.name, y.name) as a, greatest(x.name, y.name) as b, support from ed join nm x on x.cluster = a join nm y on y.cluster = b""")
+def merge_paralogs(spark, sf):
+    g = written(correct.split_paralogs(V.event_genes(spark, sf)))
+    n = correct.as_nodes(g)
+    nodes = g.select("node", F.col("cluster").alias("centroid")).distinct()
+    return graph.edges(correct.merge_paralogs(nodes, matrix.presence(n), graph.edge_members(n))[1])
+
+
+@_query()
+def collapse_paralogs(spark, sf):
+    return correct.collapse_paralogs(V.event_genes(spark, sf))
+
+
+@_query()
+def collapse_families(spark, sf):
+    g = V.token_genes(spark, sf)
+    m, em = matrix.presence(g), graph.edge_members(g)
+    return correct.collapse_families(m, em, correct.one_edit_apart(m.select("cluster").distinct()), (1,))[2]
+
+
+@_query()
+def single_linkage(spark, sf):
+    words = written(V.token_genes(spark, sf).select("cluster").distinct())
+    return graph.components(correct.one_edit_apart(words), words, written)
+
+
+@_query()
+def greedy_cluster(spark, sf):
+    d = V.dna_records(spark, sf).groupBy(F.col("dna").alias("seq")).agg(F.min("record").alias("id"))
+    return cluster.greedy(written(d), 0.9, 0.9, 12, True)
+
+
+@_query()
+def gene_neighbourhood(spark, sf):
+    em = written(graph.edge_members(V.order_genes(spark, sf)))
+    target = em.agg(F.min("a")).first()[0]
+    return query.neighbourhoods(em, target, 2, written)
+
+
+@_query()
+def infix_identity(spark, sf):
+    d = V.dna_records(spark, sf).select(F.col("dna").alias("seq"), F.substring("dna", 1, 6).alias("block")).distinct()
+    p = d.select("block", F.col("seq").alias("a")).join(d.select("block", F.col("seq").alias("b")), "block").where("a < b").select("a", F.substring("b", 20, 40).alias("b"))
+
+    def run(batches):
+        for x in batches:
+            x["identity"] = [kernels.infix_identity(a, b, True) for a, b in zip(x["a"], x["b"], strict=True)]
+            yield x
+
+    prepared(spark)
+    return p.mapInPandas(run, "a string, b string, identity double")
+
+
+@_query()
+def search_dna(spark, sf):
+    d = V.dna_records(spark, sf).select("record", F.col("dna").alias("window"), D.reverse_complement(F.substring("dna", 30, 40)).alias("query"))
+
+    def run(batches):
+        for x in batches:
+            hits = [kernels.search_dna(w, q, 0.5, 0.9) for w, q in zip(x["window"], x["query"], strict=True)]
+            x["sequence"], x["start"], x["strand"] = [h[0] if h else None for h in hits], [h[1][0] if h else -1 for h in hits], [h[2] if h else 0 for h in hits]
+            yield x[["record", "sequence", "start", "strand"]]
+
+    prepared(spark)
+    return d.mapInPandas(run, "record bigint, sequence string, start int, strand int")
+
+
+@_query()
+def gain_fit(spark, sf):
+    """Infinitely many genes: the coalescent's best fit to the spectrum, and its curves."""
+    s = {r["k"]: r["genes"] for r in matrix.spectrum(matrix.presence(V.token_genes(spark, sf))).collect()}  # a row per number of genomes
+    n = max(s)
+    x, error = models.fit_gains(np.array([float(s.get(k, 0)) for k in range(1, n + 1)]))
+    pan, core = models.coalescent_curves(n, [(x[0], x[1])], x[2])
+    return spark.createDataFrame([(i + 1, float(pan[i]), float(core[i]), float(error)) for i in range(n)], "n_genomes int, pan double, core double, error double")
+
+
+@_query()
+def finite_fit(spark, sf):
+    """Finitely many genes on a caterpillar tree of the genomes."""
+    m = matrix.presence(V.order_genes(spark, sf))
+    names = sorted(str(r[0]) for r in m.select("genome").distinct().collect())  # a row per genome
+    text = names[0] + ":1"
+    for x in names[1:]:
+        text = f"({text},{x}:1):1"
+    fit = models.fit_finite(spark, m, models.parse_newick(text + ";"), 2)
+    return spark.createDataFrame([(k, float(v)) for k, v in fit.items() if not isinstance(v, list)], "parameter string, value double")
+
+
+@_query()
+def genome_map(spark, sf):
+    """Coordinates of genomes from their distances."""
+    rows = kmer_jaccard_distance(spark, sf).collect()  # genomes squared
+    names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
+    d = np.zeros((len(names), len(names)))
+    for r in rows:
+        i, j = names.index(r["a"]), names.index(r["b"])
+        d[i, j] = d[j, i] = r["distance"]
+    x = models.multidimensional_scaling(d)
+    return spark.createDataFrame([(n, float(a), float(b)) for n, (a, b) in zip(names, x, strict=True)], "genome string, x double, y double")
