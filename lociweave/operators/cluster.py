@@ -51,20 +51,17 @@ def greedy(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int =
     Rounds settle a sequence once all earlier similar ones are settled: it is a representative if none of them is.
     """
     pairs = written(similar(rows, identity, length_ratio, k, dna))
-    open_, reps, members = rows.select("id"), None, None
+    open_, reps = written(rows.select("id")), None
     for _ in range(rounds):
-        blocked = pairs.join(open_.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        first = written(open_.join(blocked, "id", "left_anti"))
-        if first.isEmpty():
+        blocked = pairs.join(open_.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        new = written(open_.join(blocked, "id", "left_anti"))  # nothing before them is open, and no representative covers them
+        if new.isEmpty():
             break
-        under = pairs.join(first.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct() if reps is None else None
-        taken = pairs.join((first if reps is None else reps.unionAll(first)).select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct() if under is None else under
-        new = written(first.join(taken, "id", "left_anti"))
         reps = new if reps is None else reps.unionAll(new)
-        covered = pairs.join(new.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        open_ = written(open_.join(first, "id", "left_anti").join(covered, "id", "left_anti"))
-        if open_.isEmpty():
-            break
+        covered = pairs.join(new.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        open_ = written(open_.join(new, "id", "left_anti").join(covered, "id", "left_anti"))
+    if reps is None:
+        return rows.select("id", F.col("id").alias("representative"))
     best = pairs.join(reps.select(F.col("id").alias("a")), "a").join(reps.select(F.col("id").alias("b")), "b", "left_anti")
     w = Window.partitionBy("b").orderBy(F.desc("identity"), "a")
     members = best.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("b").alias("id"), F.col("a").alias("representative"))

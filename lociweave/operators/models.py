@@ -84,7 +84,7 @@ def check_labels(tree: Node, genomes: set[str]) -> None:
 def coalescent_curves(n: int, classes: list[tuple[float, float]], essential: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Expected pan and core sizes of 1..n genomes; classes of (loss, gain)."""
     j = np.arange(1, n + 1)
-    pan, core = np.full(n, essential), np.full(n, essential)
+    pan, core = np.full(n, float(essential)), np.full(n, float(essential))
     for rho, theta in classes:
         pan = pan + theta * np.cumsum(1 / (rho - 1 + j))
         for m in j:

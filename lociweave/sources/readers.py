@@ -19,7 +19,7 @@ GENE_DATA = "gff_file string, scaffold_name string, clustering_id string, annota
 
 def whole(spark: SparkSession, paths) -> DataFrame:
     """(path, text): a file a row."""
-    return spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def parse_fasta(text: str) -> list[tuple[str, str]]:
