@@ -24,8 +24,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Units that fly together in one task.
 CHUNK = 4096
-#: Units of a source that only take part in its landing.
-AGROUND = 12
+#: Units that stay aground in a flight, and units that it leaves undecided at most.
+AGROUND, LEFT = 12, 14
 #: Sources up to which their table is broadcast.
 BROADCAST = 50_000
 EPS = 1e-9
@@ -109,14 +109,28 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
-def fly_and_land(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
-    """Decides all; AGROUND units, spread over those of all sizes, don't fly."""
+def halving(size: np.ndarray, among: np.ndarray, n: int) -> np.ndarray:
+    """n of the units, whose sizes descend: again and again the first, the next of at most half its size, and so on."""
+    left, out = among.tolist(), []
+    while left and len(out) < n:
+        last, taken = np.inf, set()
+        for i in left:
+            if size[i] <= last / 2 and len(out) < n:
+                out.append(i)
+                taken.add(i)
+                last = size[i]
+        left = [i for i in left if i not in taken]
+    return np.array(sorted(out), np.int64)
+
+
+def fly_chunk(p: np.ndarray, size: np.ndarray, seed: int, last: bool) -> np.ndarray:
+    """Flight of all but a few undecided units, of descending sizes; the last flight of a source ends in its landing."""
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-    aground = open_[np.unique(np.linspace(0, len(open_) - 1, min(AGROUND, len(open_))).astype(int))] if len(open_) else open_
-    rest = np.setdiff1d(np.arange(len(p)), aground)
+    stay = halving(size, open_, AGROUND)
+    rest = np.setdiff1d(np.arange(len(p)), stay)
     p = p.copy()
     p[rest] = fly(p[rest], size[rest], seed)
-    return land(p, size)
+    return land(p, size) if last else p
 
 
 UNIT = "rank int, doc_id bigint, size bigint, p double, chunk bigint"
@@ -126,7 +140,7 @@ def _fly(level: int, last: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last", kind="stable")
         size = rows["size"].to_numpy()
-        rows["p"] = (fly_and_land if last else fly)(rows["p"].to_numpy(), size, abs(hash((seed, level, int(key[0]), int(key[1])))) % 2**63)
+        rows["p"] = fly_chunk(rows["p"].to_numpy(), size, abs(hash((seed, level, int(key[0]), int(key[1])))) % 2**63, last)
         return rows
 
     return run
@@ -146,7 +160,7 @@ def decided(units: DataFrame, most: int, seed: int = 5) -> DataFrame:
             return out
         rows = written(rows)
         done.append(rows.where("p = 0 or p = 1"))
-        units, most, level = rows.where("p > 0 and p < 1"), 2 * chunks, level + 1
+        units, most, level = rows.where("p > 0 and p < 1"), LEFT * chunks, level + 1
 
 
 def plan(sizes: DataFrame, seed: int = 5) -> DataFrame:
@@ -193,16 +207,17 @@ def mixed(docs: DataFrame, seed: int = 5) -> DataFrame:
     tag = uuid.uuid4().hex
     size, copies, nth = f"size_{tag}", f"copies_{tag}", f"nth_{tag}"
     sizes = written(with_size(docs.select("doc_id", "source", "text"), "size").select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("doc_id"), "size"))
-    take = written(plan(sizes, seed).where("base + extra > 0").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_n"), "m", "base", "extra"))
+    cols = {c: f"{c}_{tag}" for c in ("source", "doc_id", "size", "m", "base", "extra")}
+    take = written(plan(sizes, seed).where("base + extra > 0").select(*[F.col(c).alias(n if c != "size" else f"words_{tag}") for c, n in cols.items()]))
+    s, d, n, m, base, extra = (F.col(cols[c] if c != "size" else f"words_{tag}") for c in cols)
     rows = with_size(docs, size)
-    rows = rows.join(take, rows["source"].eqNullSafe(take["_s"]) & rows["doc_id"].eqNullSafe(take["_d"]) & (rows[size] == take["_n"]))
-    kept = [rows[c] for c in docs.columns]
-    alone = rows.where(take["m"] == 1).select(*kept, (take["base"] + take["extra"]).alias(copies))
-    if not take.where("m > 1").isEmpty():
-        order = Window.partitionBy(take["_s"], take["_d"], take["_n"]).orderBy(*[F.col(c) for c in docs.columns])
-        several = rows.where(take["m"] > 1).select(*kept, (take["base"] + (F.row_number().over(order) <= take["extra"]).cast("bigint")).alias(copies))
-        alone = alone.unionAll(several)
-    return alone.where(F.col(copies) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))).select(*docs.columns)
+    rows = rows.join(take, rows["source"].eqNullSafe(s) & rows["doc_id"].eqNullSafe(d) & (rows[size] == n))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    out = rows.where(m == 1).select(*kept, (base + extra).alias(copies))
+    if not take.where(m > 1).isEmpty():
+        order = Window.partitionBy(s, d, n).orderBy(*kept)
+        out = out.unionAll(rows.where(m > 1).select(*kept, (base + (F.row_number().over(order) <= extra).cast("bigint")).alias(copies)))
+    return out.where(F.col(copies) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))).select(*kept)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
