@@ -35,7 +35,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ADDRESS = re.compile(r"[^\s@]{1,64}@[^\s@]{0,64}")
 NUMBER = re.compile(r"(?:\+?[0-9]{1,3}[ -]?)?\([0-9]{2,4}\)[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])|[0-9]{4}(?: [0-9]{4}){3}(?![0-9])|\+?[0-9](?:[().+/-]{0,2}[0-9])*+")
 #: The least probability of an added span, and rounds of message passing.
-LEAST, ROUNDS, DAMPING = 0.9, 12, 0.3
+LEAST, ROUNDS, DAMPING = 0.8, 12, 0.3
 BUCKETS = 16
 
 
