@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,8 +26,17 @@ def _query(sql: str | None = None):
     return add
 
 
+def _ready(f):
+    @functools.wraps(f)
+    def run(spark, sf):
+        prepared(spark)
+        return f(spark, sf)
+
+    return run
+
+
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {name: _ready(f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -182,7 +193,7 @@ def _round(i: int) -> str:
 @_query(f"{TEXT_GRAPH}, n0 as (select * from sup), e0 as (select a, b from ed), {_round(0)}, {_round(1)} select cluster, support from n2")
 def trim_two_rounds(spark, sf):
     g = V.token_genes(spark, sf)
-    return graph.trim(matrix.support(matrix.presence(g)), graph.edges(graph.edge_members(g)), 3, 2)[0]
+    return graph.trim(written(matrix.support(matrix.presence(g))), written(graph.edges(graph.edge_members(g))), 3, 2)[0]
 
 
 @_query()
@@ -207,19 +218,19 @@ _SV = """, st as (select a, b from ed where support >= {k}), ss as (select a as
 
 @_query(ORDER_GRAPH + _SV.format(k=3))
 def structural_variants(spark, sf):
-    return graph.structural_variants(graph.edge_members(V.order_genes(spark, sf)), 3)
+    return graph.structural_variants(written(graph.edge_members(V.order_genes(spark, sf))), 3)
 
 
 @_query(TEXT_GRAPH + _SV.format(k=8))
 def structural_variants_text(spark, sf):
-    return graph.structural_variants(graph.edge_members(V.token_genes(spark, sf)), 8)
+    return graph.structural_variants(written(graph.edge_members(V.token_genes(spark, sf))), 8)
 
 
 @_query(f"""{TEXT_GRAPH}, near as (select distinct s.node as cluster, m.genome from sym s join members m on m.cluster = s.neighbour where s.node in (select cluster from sup where support >= 12))
   select near.cluster, near.genome from near anti join members m on m.cluster = near.cluster and m.genome = near.genome""")
 def missing_with_neighbour(spark, sf):
     g = V.token_genes(spark, sf)
-    return graph.missing_with_neighbour(matrix.presence(g), graph.edge_members(g), 12)
+    return graph.missing_with_neighbour(written(matrix.presence(g)), graph.edge_members(g), 12)
 
 
 _DEAD = "dead as (select cluster from sup where support < 20), sm as (select a as node, b as neighbour, genome from em union all select b, a, genome from em), live as (select * from sm where node in (select cluster from dead) and neighbour not in (select cluster from dead))"
@@ -228,9 +239,9 @@ _DEAD = "dead as (select cluster from sup where support < 20), sm as (select a a
 @_query(f"""{ORDER_GRAPH}, {_DEAD}, o as (select a, b, genome from em where a not in (select cluster from dead) and b not in (select cluster from dead) union
   select x.neighbour, y.neighbour, x.genome from live x join live y on x.node = y.node and x.genome = y.genome and x.neighbour < y.neighbour) select a, b, count(*) as support from o group by a, b""")
 def delete_node_bridges(spark, sf):
-    g = V.order_genes(spark, sf)
+    g = written(V.order_genes(spark, sf))
     m = matrix.presence(g)
-    return graph.edges(graph.delete_nodes(m, graph.edge_members(g), matrix.support(m).where("support < 20").select("cluster"))[1])
+    return graph.edges(graph.delete_nodes(m, written(graph.edge_members(g)), matrix.support(m).where("support < 20").select("cluster"))[1])
 
 
 _STRONG = "st as (select a, b from ed where support >= 5), sy as (select a as x, b as y from st union all select b, a from st)"
@@ -291,13 +302,13 @@ def mutual_information(spark, sf):
 @_query(f"""{_MI}, b as (select max(mi) as m from mi group by a), q as (select quantile_cont(m, 0.25) as q1, quantile_cont(m, 0.75) as q3 from b)
   select a, b, round(mi, 8) + 0.0 as mi, case when mi > q3 + 3 * (q3 - q1) then 2 when mi > q3 + 1.5 * (q3 - q1) then 1 else 0 end as outlier from mi, q""")
 def mi_outliers(spark, sf):
-    return _rounded(stats.tukey(_mi(spark, sf)))
+    return _rounded(stats.tukey(written(_mi(spark, sf))))
 
 
 @_query(f"""{_MI}, t as (select quantile_cont(mi, 0.9) as t from mi), k as (select a, b, round(mi, 8) as mi from mi, t where mi - t >= -1e-4), y as (select a, b, mi from k union all select b, a, mi from k),
   w as (select distinct k.a, k.b from k join y x on x.a = k.a and k.mi < x.mi join y z on z.a = k.b and z.b = x.b and k.mi < z.mi) select k.a, k.b, k.mi + 0.0 as mi from k anti join w on w.a = k.a and w.b = k.b""")
 def aracne(spark, sf):
-    kept = stats.keep_quantile(_mi(spark, sf), 0.9).withColumn("mi", F.round("mi", 8))
+    kept = written(stats.keep_quantile(written(_mi(spark, sf)), 0.9).withColumn("mi", F.round("mi", 8)))
     return _rounded(stats.aracne(kept))
 
 
