@@ -102,3 +102,13 @@ def containment(rows: DataFrame, references: DataFrame, k: int, most: int) -> Da
     out = shared.join(r.groupBy("ref").agg(F.count("*").alias("n")), "ref")
     rank = F.row_number().over(Window.partitionBy("genome").orderBy(F.desc("shared"), "ref"))
     return out.select("genome", "ref", "shared", F.round(F.col("shared") / F.col("n"), 9).alias("containment"), rank.alias("rank")).where(F.col("rank") <= most)
+
+
+def coarsen(rows: DataFrame, identities: tuple[float, ...], length_ratio: float = 0.0, k: int = 5, dna: bool = False) -> DataFrame:
+    """(id, representative) at the last of descending identities; each step clusters the representatives of the one before."""
+    out, left = rows.select("id", F.col("id").alias("representative")), rows
+    for identity in identities:
+        step = written(greedy(left, identity, length_ratio, k, dna).select(F.col("id").alias("_old"), F.col("representative").alias("_new")))
+        out = written(out.join(step, F.col("representative") == F.col("_old")).select("id", F.col("_new").alias("representative")))
+        left = written(left.join(step.where("_old = _new").select(F.col("_old").alias("id")), "id", "left_semi"))
+    return out

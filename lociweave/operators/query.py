@@ -61,6 +61,18 @@ def regions(located: DataFrame, first: str, second: str, margin: int = 0) -> Dat
     return a.join(b, ["genome", "contig"]).select("genome", "contig", F.greatest(F.least("s1", "s2") - margin, F.lit(1)).alias("start"), (F.greatest("e1", "e2") + margin).alias("end"), "strand")
 
 
+def extract_sequences(cells: DataFrame, genes: DataFrame, clusters: list[str], dna: bool = True, by: str = "both") -> DataFrame:
+    """(id, seq) of the genes of some clusters, from cells (cluster, genome, cell) of ids joined by ``;``.
+
+    genes: (genome, annotation_id, dna, protein). Marks of length and stops are taken off the ids; ``by`` names a
+    sequence by gene, genome or both.
+    """
+    ids = cells.where(F.col("cluster").isin(clusters)).select("genome", F.explode(F.split("cell", ";")).alias("x"))
+    ids = ids.select("genome", F.regexp_replace("x", "_len|_pseudo", "").alias("annotation_id")).where("annotation_id <> ''").distinct()
+    name = {"gene": F.col("annotation_id"), "genome": F.col("genome").cast("string"), "both": F.concat_ws("_", F.col("genome").cast("string"), "annotation_id")}[by]
+    return genes.join(ids, ["genome", "annotation_id"], "left_semi").select(name.alias("id"), F.col("dna" if dna else "protein").alias("seq"))
+
+
 def minimum_cut(pairs: list[tuple[str, str, int]], source: str, sink: str) -> list[tuple[str, str]]:
     """Edges of a least cut between two nodes by shortest augmenting paths; for the induced subgraph of one query."""
     cap: dict[str, dict[str, int]] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import cluster, correct, graph, matrix
 from ..sources import readers
@@ -46,8 +46,7 @@ def run(spark: SparkSession, paths: list[str], mode: str = "strict", strict_gene
     buckets = correct.collapse_paralogs(genes).select("node", "bucket")
     nodes = written(split.join(buckets, "node", "left").select("genome", "contig", "ix", F.coalesce("bucket", "node").alias("cluster"), "protein"))
     members, em = matrix.presence(nodes), graph.edge_members(nodes)
-    longest = nodes.groupBy("cluster").agg(F.max_by("protein", F.struct(F.length("protein"), "protein")).alias("seq"))
-    near = cluster.similar(written(longest.select(F.col("cluster").alias("id"), "seq")), s.family, 0.0)
+    near = cluster.similar(written(longest_proteins(nodes)), s.family)
     members, em, names = correct.collapse_families(members, em, near.select("a", "b"))
     kept, _ = graph.trim(written(matrix.support(members)), written(graph.edges(em)), s.min_trailing_support, min(s.trailing_rounds, 1000), written)
     members = written(members.join(kept.select("cluster"), "cluster", "left_semi"))
@@ -55,4 +54,38 @@ def run(spark: SparkSession, paths: list[str], mode: str = "strict", strict_gene
     ends = graph.contig_ends(nodes.join(names, nodes.cluster == names.old, "left").select("genome", "contig", "ix", F.coalesce("new", "cluster").alias("cluster")))
     good = graph.clean_edges(matrix.support(members), ends, graph.edges(em), s.edge_support)
     em = written(em.join(good.select("a", "b"), ["a", "b"], "left_semi"))
+    nodes = written(nodes.join(names.withColumnRenamed("old", "cluster"), "cluster").select("genome", "contig", "ix", F.col("new").alias("cluster"), "protein").join(kept.select("cluster"), "cluster", "left_semi"))
     return Pangenome(nodes, members, em, matrix.summary(members), graph.structural_variants(em, s.min_variant_support))
+
+
+def longest_proteins(genes: DataFrame) -> DataFrame:
+    """(id, seq): the longest protein of each cluster, the greatest of equals; the reference sequences of a graph."""
+    return genes.groupBy(F.col("cluster").alias("id")).agg(F.max_by("protein", F.struct(F.length("protein"), "protein")).alias("seq"))
+
+
+def merge(spark: SparkSession, runs: list[Pangenome], mode: str = "strict", identity: float = 0.95, length: float = 0.98) -> Pangenome:
+    """One graph of several: genomes are numbered on, clusters joined by their longest proteins, then families.
+
+    Of one graph's clusters that fall to the same representative, one joins it; the others stay by themselves.
+    """
+    genes, offset = None, 0
+    for i, r in enumerate(runs):
+        part = r.genes.select((F.col("genome") + offset).cast("int").alias("genome"), "contig", "ix", F.concat(F.lit(f"{i}:"), "cluster").alias("cluster"), "protein")
+        genes = part if genes is None else genes.unionByName(part)
+        offset += (r.genes.agg(F.max("genome")).first()[0] or 0) + 1
+    genes = written(genes)
+    longest = written(longest_proteins(genes))
+    reps = cluster.greedy(longest, identity, length)
+    graph_of = F.substring_index("id", ":", 1)
+    place = F.row_number().over(Window.partitionBy("representative", graph_of).orderBy((F.col("id") != F.col("representative")), "id"))
+    into = reps.withColumn("r", place).select(F.col("id").alias("cluster"), F.when(F.col("r") == 1, F.col("representative")).otherwise(F.col("id")).alias("new"))
+    genes = written(genes.join(into, "cluster").select("genome", "contig", "ix", F.col("new").alias("cluster"), "protein"))
+    near = cluster.similar(written(longest_proteins(genes)), settings(mode, offset).family)
+    members, em, names = correct.collapse_families(matrix.presence(genes), graph.edge_members(genes), near.select("a", "b"))
+    genes = written(genes.join(names.withColumnRenamed("old", "cluster"), "cluster").select("genome", "contig", "ix", F.col("new").alias("cluster"), "protein"))
+    return Pangenome(genes, members, em, matrix.summary(members), graph.structural_variants(em, settings(mode, offset).min_variant_support))
+
+
+def add_genome(spark: SparkSession, old: Pangenome, path: str, mode: str = "strict") -> Pangenome:
+    """A graph with one more annotated genome."""
+    return merge(spark, [old, run(spark, [path], "sensitive")], mode)

@@ -145,6 +145,14 @@ def test_greedy_equals_sequential(spark):
     assert got == want
 
 
+def test_coarsening_and_extraction(spark):
+    s = spark.createDataFrame([(1, "ACDEFGHIKLMNPQRSTVWY" * 2), (2, "ACDEFGHIKLMNPQRSTVWY" * 2), (3, "ACDEFGHIKLMNPQRSTVWA" + "ACDEFGHIKLMNPQRSTVWY"), (4, "YYYYYWWWWWVVVVV")], "id int, seq string")
+    assert dict(rows(cluster.coarsen(s, (0.99, 0.9)))) == {1: 1, 2: 1, 3: 1, 4: 4}
+    cells = spark.createDataFrame([("x", 0, "g1_len;g2"), ("y", 0, "g3")], "cluster string, genome int, cell string")
+    g = spark.createDataFrame([(0, "g1", "A", "M"), (0, "g2", "C", "K"), (0, "g3", "G", "L")], "genome int, annotation_id string, dna string, protein string")
+    assert rows(query.extract_sequences(cells, g, ["x"])) == [("0_g1", "A"), ("0_g2", "C")]
+
+
 def test_components_and_within(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("c", "d")], "a string, b string")
     n = spark.createDataFrame([(x,) for x in "abcdxyz"], "cluster string")
@@ -182,6 +190,8 @@ def test_run_on_identical_genomes(spark, tmp_path):
         annotation(tmp_path, "c1", g, parts)
     run = pangenome.run(spark, [str(tmp_path / f"{g}.gff") for g in ("one", "two", "three")])
     assert run.summary.first().total == 4 and run.members.count() == 12
+    more = pangenome.merge(spark, [run, pangenome.run(spark, [str(tmp_path / "one.gff")], "sensitive")])
+    assert more.summary.first().total == 4 and more.members.count() == 16
     run.register(spark)
     assert spark.sql("select count(*) from pangenome_members").first()[0] == 12
 
