@@ -83,7 +83,8 @@ def sketch_distances(sketches: DataFrame, k: int, size: int) -> DataFrame:
     """(a, b, jaccard, distance) of all pairs of genomes by the ``size`` smallest digests of both together."""
     one = sketches.select("genome").distinct()
     pairs = one.select(F.col("genome").alias("a")).join(one.select(F.col("genome").alias("b")), F.col("a") < F.col("b"))
-    u = pairs.join(F.broadcast(sketches), F.col("genome").isin(F.col("a"), F.col("b"))).groupBy("a", "b", "h").agg(F.count("*").alias("n"))  # sketches are of fixed size
+    both = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("genome"))
+    u = both.join(sketches, "genome").groupBy("a", "b", "h").agg(F.count("*").alias("n"))
     u = u.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("h"))).where(F.col("r") <= size)
     j = u.groupBy("a", "b").agg((F.sum(F.when(F.col("n") == 2, 1).otherwise(0)).cast("double") / F.count("*")).alias("j"))
     d = F.when(F.col("j") > 0, -F.log(2 * F.col("j") / (1 + F.col("j"))) / k).otherwise(1.0)

@@ -19,7 +19,7 @@ def mutual_information(members: DataFrame, weights: DataFrame | None = None) ->
     """
     w = weights if weights is not None else members.select("genome").distinct().withColumn("w", F.lit(1.0))
     n = w.agg(F.sum("w").alias("n"), F.count("*").alias("genomes"))
-    m = members.join(F.broadcast(w), "genome")  # a row per genome
+    m = members.join(w, "genome")
     s = m.groupBy("cluster").agg(F.sum("w").alias("s"), F.count("*").alias("k")).join(F.broadcast(n)).where("k < genomes").select("cluster", "s")
     m = m.join(s.select("cluster"), "cluster", "left_semi")
     n11 = m.select("genome", "w", F.col("cluster").alias("a")).join(m.select("genome", F.col("cluster").alias("b")), "genome").where("a < b").groupBy("a", "b").agg(F.sum("w").alias("n11"))
@@ -104,7 +104,7 @@ def accumulation(members: DataFrame, boots: int = 5, seed: str = "7") -> DataFra
     draw = draw.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_genomes"))).alias("i"))
     key = F.concat_ws("-", F.lit(seed), F.col("n_genomes").cast("string"), F.col("boot").cast("string"), F.col("i").cast("string"))
     draw = draw.select("n_genomes", "boot", (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % F.col("n")).alias("slot")).distinct()
-    drawn = draw.join(F.broadcast(ordered), "slot").select("n_genomes", "boot", "genome")
-    per = members.join(F.broadcast(drawn), "genome").select("n_genomes", "boot", "cluster").distinct().groupBy("n_genomes", "boot").agg(F.count("*").alias("c"))
+    drawn = draw.join(ordered, "slot").select("n_genomes", "boot", "genome")
+    per = members.join(drawn, "genome").select("n_genomes", "boot", "cluster").distinct().groupBy("n_genomes", "boot").agg(F.count("*").alias("c"))
     q = F.expr("percentile(c, array(0.025, 0.975))")
     return per.groupBy("n_genomes").agg(F.round(q[0], 4).alias("low"), F.round(F.avg("c"), 4).alias("mean"), F.round(q[1], 4).alias("high"))

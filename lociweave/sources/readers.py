@@ -92,7 +92,7 @@ def gene_calls(features: DataFrame, contigs: DataFrame, genomes: DataFrame, stri
             yield pd.DataFrame(out, columns=["genome", "path", "contig", "ord", "start", "end", "strand", "annotation_id", "gene_name", "description", "dna", "protein"])
 
     prepared(features.sparkSession)
-    rows = features.where(F.col("type").contains("CDS")).join(contigs.select("path", F.col("contig").alias("seqid"), "seq"), ["path", "seqid"], "left").join(F.broadcast(genomes), "path")
+    rows = features.where(F.col("type").contains("CDS")).join(contigs.select("path", F.col("contig").alias("seqid"), "seq"), ["path", "seqid"], "left").join(genomes, "path")
     rows = rows.mapInPandas(genes, "genome int, path string, contig string, ord bigint, start bigint, end bigint, strand string, annotation_id string, gene_name string, description string, dna string, protein string")
     first = rows.groupBy("genome", "contig").agg(F.min("ord").alias("first")).withColumn("contig_ix", F.row_number().over(Window.partitionBy("genome").orderBy("first")) - 1).drop("first")
     rows = rows.join(first, ["genome", "contig"]).withColumn("gene_ix", F.row_number().over(Window.partitionBy("genome", "contig").orderBy("start", "ord")) - 1)
