@@ -9,7 +9,6 @@ The benchmark is broadcast in blocks of bounded size; each block is one more map
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field

@@ -189,25 +189,27 @@ def trained(n: int = FINDINGS, recall: float = RECALL, seed: int = 11) -> Networ
     return net
 
 
-def all_spans(items: list[str], net: Network) -> list[list[tuple[int, int, str]]]:
-    """Spans of each text: the patterns', and the candidates clear of them that the network accepts."""
+def all_spans(items: list[str], net: Network) -> list[list[tuple[int, int, str, float]]]:
+    """(start, end, kind, probability) of each text's spans: the patterns', and the candidates clear of them that the network accepts.
+
+    The network scores all of them; the patterns' spans stay at any score.
+    """
     base = [base_spans(x) for x in items]
     asked, rows = [], []
     for i, x in enumerate(items):
-        for s, e in candidates(x):
-            if all(e <= a or b <= s for a, b, _ in base[i]):
-                asked.append((i, s, e))
-                rows.append(symbols(x, s, e))
-    out = [list(b) for b in base]
-    if rows:
-        for (i, s, e), p in zip(asked, net.probability(np.array(rows)), strict=True):
-            if p >= net.threshold:
-                out[i].append((s, e, "learned"))
+        clear = [(s, e, "learned") for s, e in candidates(x) if all(e <= a or b <= s for a, b, _ in base[i])]
+        for s, e, k in [*base[i], *clear]:
+            asked.append((i, s, e, k))
+            rows.append(symbols(x, s, e))
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in items]
+    for (i, s, e, k), p in zip(asked, net.probability(np.array(rows)) if rows else (), strict=True):
+        if k != "learned" or p >= net.threshold:
+            out[i].append((s, e, k, round(float(p), 6)))
     return [sorted(x, key=lambda v: (v[0], KINDS.index(v[2]), v[1])) for x in out]
 
 
-def joined(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+def joined(spans: list[tuple]) -> str:
+    return ",".join(f"{k}:{s}:{e}" for s, e, k, *_ in spans)
 
 
 def _scan(shared):
@@ -216,15 +218,16 @@ def _scan(shared):
             found = all_spans(texts(batch), shared.value)
             base = [[x for x in f if x[2] != "learned"] for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array([sum(x[2] == k for x in b) for b in base], pa.int64()) for k in KINDS[:3]), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base]), pa.array([joined(f) for f in found])],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                [batch.column("doc_id"), *(pa.array([sum(x[2] == k for x in b) for b in base], pa.int64()) for k in KINDS[:3]), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base]), pa.array([joined(f) for f in found]), pa.array([[x[3] for x in f] for f in found], pa.list_(pa.float64()))],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores"],
             )
 
     return scan
 
 
 def secrets(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """Per document: doc_id, counts of the patterns' spans by kind, their digest, and all spans as kind:start:end.
+    """Per document: doc_id, counts of the patterns' spans by kind, their digest, all spans as kind:start:end, and the
+    network's probability of each.
 
     Offsets are code points. Null and empty texts have no spans; repeated documents give a row each; other columns
     are ignored.
@@ -233,7 +236,7 @@ def secrets(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trained(recall=recall))  # a few thousand weights
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scan(shared), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return rows.mapInArrow(_scan(shared), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, scores array<double>")
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:

@@ -75,7 +75,9 @@ def test_network_on_unseen_findings():
     p = net.probability(x) >= net.threshold
     assert p[y == 1].mean() > 0.9 and p[y == 0].mean() < 0.03
     t = "the key is ghp_a8Fk29xLq0ZpR7sT3uVw1YbC4dE5 and more"
-    assert any(k == "learned" for *_, k in secrets.all_spans([t], net)[0])
+    assert any(k == "learned" for _, _, k, _ in secrets.all_spans([t], net)[0])
+    t = "token = 0123456789abcdef0123456789abcdef"
+    assert [k for _, _, k, _ in secrets.all_spans([t], net)[0]] == ["assign", "hex"]
 
 
 # 2
