@@ -25,7 +25,7 @@ END_ID = 1
 FILES = "doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>"
 ORC = {"orc.compress": "ZSTD", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 #: Entries in each of the two generations of the chunk cache of a Python worker.
-CACHE = 250_000
+CACHE = 400_000
 _CONTROL = "\x1c\x1d\x1e\x1f"  # split by str.split, but not white space to the tokenizer
 
 
