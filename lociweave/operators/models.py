@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -29,8 +30,6 @@ class Node:
 
 def parse_newick(text: str) -> Node:
     """A tree from newick text; comments in brackets are skipped."""
-    import re
-
     tokens = re.findall(r"[(),;]|:[^(),;]*|'(?:[^']|'')*'|[^(),:;]+", re.sub(r"\[[^\]]*\]", "", text.strip()))
     root = Node()
     stack, last = [root], root
@@ -39,8 +38,6 @@ def parse_newick(text: str) -> Node:
             last = Node()
             stack[-1].children.append(last)
             stack.append(last)
-            if len(stack) == 2 and not root.children[1:]:
-                pass
         elif t == ",":
             stack.pop()
             last = Node()
