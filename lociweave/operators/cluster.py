@@ -19,15 +19,17 @@ def pairs_in_blocks(rows: DataFrame) -> DataFrame:
     return p.select("a", "b", F.round(1 - F.levenshtein("sa", "sb") / F.greatest(F.length("sa"), F.length("sb")), 6).alias("identity"))
 
 
-def seeds(rows: DataFrame, k: int, most: int = 64) -> DataFrame:
-    """(id, seed): the ``most`` smallest digests of a sequence's k-mers; similar sequences share some."""
+def seeds(rows: DataFrame, k: int) -> DataFrame:
+    """(id, seed): digests of a sequence's distinct k-mers."""
     at = F.when(F.length("seq") >= k, F.sequence(F.lit(1), F.length("seq") - (k - 1))).otherwise(F.array().cast("array<int>"))
-    h = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring("seq", i, F.lit(k)))))
-    return rows.select("id", F.explode(F.slice(F.array_sort(h), 1, most)).alias("seed"))
+    return rows.select("id", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring("seq", i, F.lit(k)))))).alias("seed"))
 
 
 def similar(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int = 5, dna: bool = False) -> DataFrame:
-    """(a, b, identity), a before b in (length descending, id): pairs that share a seed, verified by infix identity."""
+    """(a, b, identity), a before b in (length descending, id): pairs that share a k-mer, verified by infix identity.
+
+    With at most (n - k) / (k + 1) edits, sequences of n letters share one; pairs that share none aren't compared.
+    """
     prepared(rows.sparkSession)
     s = seeds(rows, k)
     cand = s.select("seed", F.col("id").alias("a")).join(s.select("seed", F.col("id").alias("b")), "seed").where("a <> b").select("a", "b").distinct()
