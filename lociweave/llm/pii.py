@@ -2,9 +2,10 @@
 
 The nodes of a document's field are its mentions: the patterns' spans, whose labels are fixed, and other numbers and
 addresses. Neighbours are linked in a chain; a mention is also linked to the last one before it that is equal or
-similar (the same digits or the same last ones, the same user or host), however far. Loopy message passing gives each
-mention its label probabilities, so that a number written in full once labels its short forms elsewhere. Weights are
-learned by pseudo-likelihood on documents from a seeded generator.
+similar (the same digits or the same last ones, the same user or host), and to one such mention of each label that
+the patterns fixed, before or after it, however far. Loopy message passing until nothing changes gives each mention
+its label probabilities, so that a number written in full once labels its short forms elsewhere, however many they
+are. Weights are learned by pseudo-likelihood on documents from a seeded generator.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Other mentions: addresses, numbers in groups, other numbers.
 ADDRESS = re.compile(r"[^\s@]{1,64}@[^\s@]{0,64}")
 NUMBER = re.compile(r"(?:\+?[0-9]{1,3}[ -]?)?\([0-9]{2,4}\)[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])|[0-9]{4}(?: [0-9]{4}){3}(?![0-9])|\+?[0-9](?:[().+/-]{0,2}[0-9])*+")
-#: The least probability of an added span, and rounds of message passing.
-LEAST, ROUNDS, DAMPING = 0.8, 12, 0.3
+#: The least probability of an added span.
+LEAST = 0.8
+#: Message passing ends when no message changes by more; its damping grows each so many rounds, up to a last round, as messages in loops may swing.
+TOLERANCE, DAMPING, CALM, ROUNDS = 1e-4, 0.3, 200, 2000
 BUCKETS = 16
 
 
@@ -133,15 +136,21 @@ def keys(m: Mention) -> list[str]:
 
 
 def edges(nodes: list[Mention]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(from, to, kind): 0 for the chain, 1 for skips to the last equal or similar mention."""
+    """(from, to, kind): 0 for the chain, 1 for skips to the last equal or similar mention and to the first of each fixed label."""
     out = [(i - 1, i, 0) for i in range(1, len(nodes))]
+    held = [keys(m) for m in nodes]
+    fixed: dict[str, dict[int, int]] = {}
+    for i, m in enumerate(nodes):
+        for k in held[i] if m.label >= 0 else ():
+            fixed.setdefault(k, {}).setdefault(m.label, i)
     last: dict[str, int] = {}
+    seen = set()
     for i, m in enumerate(nodes):
-        seen = set()
-        for k in keys(m):
-            if (j := last.get(k)) is not None and j not in seen:
-                seen.add(j)
-                out.append((j, i, 1))
+        for k in held[i]:
+            for j in (last.get(k, i), *(fixed.get(k, {}).values() if m.label < 0 else ())):
+                if j != i and (min(i, j), max(i, j)) not in seen:
+                    seen.add((min(i, j), max(i, j)))
+                    out.append((j, i, 1))
             last[k] = i
     a = np.array(out, np.int64).reshape(-1, 3)
     return a[:, 0], a[:, 1], a[:, 2]
@@ -166,14 +175,20 @@ class Field:
         pair = np.concatenate([self.pair[kind], self.pair[kind].transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         say = np.zeros((len(src), len(LABELS)))
-        for _ in range(ROUNDS if len(src) else 0):
+        damping = DAMPING
+        for t in range(1, ROUNDS + 1 if len(src) else 1):
             heard = own.copy()
             np.add.at(heard, dst, say)
             x = (heard[src] - say[back])[:, :, None] + pair
             top = x.max(1)
             new = top + np.log(np.exp(x - top[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
-            say = DAMPING * say + (1 - DAMPING) * new
+            far = np.abs(new - say).max()
+            say = damping * say + (1 - damping) * new
+            if far < TOLERANCE:
+                break
+            if t % CALM == 0:
+                damping = (1 + damping) / 2
         heard = own.copy()
         np.add.at(heard, dst, say)
         p = np.exp(heard - heard.max(1, keepdims=True))

@@ -401,6 +401,15 @@ def test_field_uses_distant_mentions():
     assert right / total > 0.8 and wrong / clean < 0.02
 
 
+def test_field_reaches_over_any_number_of_repeats():
+    f = pii.trained()
+    full, short = "call +1 (213) 555-7713 please", ["or 213-555-7713 now and then"] * 30
+    for parts in ([full, *short], [*short, full], [*short[:15], full, *short[15:]]):
+        text = "\n".join(parts)
+        assert len(pii.added_spans(text, pii.base_spans(text), f)) == 30
+    assert pii.added_spans("\n".join(short), [], f) == []
+
+
 # 10
 
 
