@@ -1,6 +1,7 @@
 """Secrets in texts: fixed patterns, and a character convolutional network over other candidates with their context.
 
-The network sees a candidate and what stands around it as characters. It is trained in numpy on labelled findings
+The network sees a candidate and what stands around it as characters; a long one in overlapping windows over its
+whole length, of which the best counts. It is trained in numpy on labelled findings
 from a seeded generator (secrets of many makes against identifiers, versions, addresses, numbers), scaled to
 calibrated probabilities on findings that it was not trained on, and cut at the highest threshold that keeps the
 asked recall there. It scores every candidate; the patterns' spans stay whatever it says.
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -27,14 +29,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "learned")
 
-#: What the network is asked about: runs of 16 to 512 characters with a digit and a letter.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+#: What the network is asked about: runs of so many characters or more, and what the patterns' spans leave of them.
+SHORTEST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 BEFORE, INSIDE, AFTER = 24, 40, 8
+#: Characters from a window to the next, and windows scored at once.
+STEP, AT_ONCE = 20, 4096
 WIDTH = BEFORE + INSIDE + AFTER
 RECALL = 0.98
 #: The least calibrated probability of a span, whatever recall asks.
 LEAST = 0.9
-FINDINGS = 3000
+FINDINGS = 6000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -48,21 +53,36 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans for the network; a text without digits has none."""
-    if not re.search("[0-9]", text):
-        return []
-    return [m.span() for m in CANDIDATE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+def candidates(text: str, held: list[tuple[int, int, str]] = ()) -> list[tuple[int, int]]:
+    """Spans for the network: runs, without what the patterns' spans hold of them."""
+    out, i = [], 0
+    held = sorted(held)
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        while i < len(held) and held[i][1] <= at:
+            i += 1
+        for s, e, _ in itertools.takewhile(lambda x: x[0] < end, itertools.islice(held, i, None)):
+            if s - at >= SHORTEST:
+                out.append((at, s))
+            at = max(at, e)
+        if end - at >= SHORTEST:
+            out.append((at, end))
+    return out
+
+
+def windows(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of a span that the network sees, which cover it; the last one ends with it."""
+    last = max(start, end - INSIDE)
+    for at in range(start, last, STEP):
+        yield at, at + INSIDE
+    yield last, end
 
 
 def symbols(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the characters in and around a candidate: printable ASCII, one code for others, 0 for nothing."""
-    inside = text[start:end]
-    if len(inside) > INSIDE:
-        inside = inside[: INSIDE // 2] + inside[-(INSIDE - INSIDE // 2) :]
-    window = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + inside.ljust(INSIDE, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
+    """Codes of the characters in and around a window: printable ASCII, one code for others, 0 for nothing."""
+    window = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start:end].ljust(INSIDE, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
     codes = np.array([ord(c) for c in window])
-    return np.where(codes == 0, 0, np.where((codes >= 32) & (codes < 127), codes - 31, 96))
+    return np.where(codes == 0, 0, np.where((codes >= 32) & (codes < 127), codes - 31, 96)).astype(np.uint8)
 
 
 @dataclass
@@ -99,25 +119,38 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and labels of generated findings: half are secrets."""
+def findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Symbols of the windows, the windows' labels and the label of generated findings: half are secrets.
+
+    A window of a secret inside a longer run is labelled by what it holds of the secret; -1 if that is too little to tell.
+    """
     r = random.Random(seed)
     chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     syllables = ["an", "the", "re", "on", "ti", "er", "lich", "ver", "que", "ment", "cion", "os", "in", "al", "to", "es", "ar", "st"]
     some = lambda a, k: "".join(r.choices(a, k=k))
-    word = lambda: "".join(r.choices(syllables, k=r.randint(1, 4)))
+    onsets, vowels, codas = "b c d f g h j k l m n p r s t v w z bl br ch cl cr dr fl fr gl gr kn kr ph pl pr qu sch schl schw sh sk sl sp spr st str th tr tz zw".split(), "a e i o u y ai au ea ee ei eu ie io oo ou".split(), ["", "", "", "", *"b ch ck d f ff g h ht k l lch ld ll lt m mm n nd ng nn ns nt p r rch rd rg rm rn rs rt s ss st t tt tz x".split()]
+    syllable = lambda: r.choice(syllables) if r.random() < 0.4 else r.choice(onsets) + r.choice(vowels) + r.choice(codas)
+    word = lambda: "".join(syllable() for _ in range(r.randint(1, 4)))
     words = lambda k: " ".join(word() for _ in range(k))
 
-    def secret() -> tuple[str, str, str]:
+    def path() -> str:
+        return "/".join(r.choice([word, word, lambda: f"{word()}{r.choice('-_')}{word()}", lambda: str(r.randint(1, 9999)), lambda: f"{word()}{r.randint(1, 99)}"])() for _ in range(r.randint(4, 40)))
+
+    def secret() -> tuple[str, str, str, str, str]:
         value = r.choice([
             lambda: some(chars, r.randint(20, 64)), lambda: some(chars + "+/", r.randint(30, 80)) + "=" * r.randint(0, 2),
             lambda: some("0123456789ABCDEF", r.choice([32, 40, 64])), lambda: r.choice(["ghp_", "sk-", "xoxb-", "glpat-"]) + some(chars, r.randint(20, 40)),
             lambda: some(chars + "-_", r.randint(24, 48)), lambda: "-".join(some("0123456789ABCDEF", 4) for _ in range(6)),
+            lambda: some(chars + "+/", r.randint(100, 900)) + "=" * r.randint(0, 2), lambda: some(chars[:52], r.randint(20, 48)),
         ])()
+        if len(value) < 100 and r.random() < 0.15:  # inside a longer run
+            first = path() + r.choice("/=")
+            rest = r.choice(["", "/" + path()])
+            return r.choice(["http:/", words(2) + " ", ""]), value, r.choice(["", " ", '"', ".", "\n"]) + words(1), first, rest
         before = r.choice([words(3) + " ", words(2) + " key ", words(2) + " bearer ", "auth: ", "private_key=", words(1) + ' credential "', "KEY=", "pwd is ", ""])
-        return before, value, r.choice(["", " ", '"', ".", "\n"]) + words(1)
+        return before, value, r.choice(["", " ", '"', ".", "\n"]) + words(1), "", ""
 
-    def plain() -> tuple[str, str, str]:
+    def plain() -> tuple[str, str, str, str, str]:
         value = r.choice([
             lambda: f"{word()}_{word()}_{word()}_{r.randint(1, 99)}", lambda: f"{word()}-{word()}-{word()}-{r.randint(1990, 2030)}",
             lambda: f"{word()}/{word()}/{word()}/{r.randint(1, 999)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}",
@@ -125,24 +158,44 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> tuple[np.ndarray, np
             lambda: f"{word().upper()}{word().upper()}-{r.randint(100, 999)}-{word().upper()}", lambda: "-" * r.randint(8, 20) + f"{word()}{r.randint(1, 9)}",
             lambda: f"{word()}{word()}{word()}-v{r.randint(1, 9)}_{r.randint(0, 9)}_{r.randint(0, 9)}", lambda: f"{r.randint(10**8, 10**9)}-{r.randint(10**6, 10**7)}{word()}",
             lambda: f"+{r.randint(1, 99)}-{r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}x", lambda: "".join(word().capitalize() for _ in range(4)) + str(r.randint(1, 99)),
+            path, path, *[lambda: "".join(word() for _ in range(r.randint(3, 9)))] * 4, *[lambda: "".join(word() for _ in range(r.randint(3, 7))).capitalize()] * 2, lambda: r.choice("_-").join(word() for _ in range(r.randint(4, 9))),
+            lambda: r.choice("-=_+/") * r.choice([r.randint(16, 40), r.randint(16, 900)]), lambda: some("0123456789", r.randint(16, 40)), lambda: r.choice([some("0123456789", 2), word(), r.choice(chars)]) * r.randint(16, 60),
+            lambda: "-".join(some("0123456789", r.randint(2, 5)) for _ in range(r.randint(4, 6))), lambda: "".join(word() for _ in range(r.randint(4, 7))).upper(), lambda: "".join(word().capitalize() for _ in range(r.randint(4, 8))),
         ])()
-        return r.choice([words(3) + " ", words(2) + ": ", "http:/", words(1) + "@", words(2) + ', "', ""]), value, r.choice(["", " ", ".", ",", "\n", '"']) + words(1)
+        return r.choice([words(3) + " ", words(2) + ": ", "http:/", words(1) + "@", words(2) + ', "', ""]), value, r.choice(["", " ", ".", ",", "\n", '"']) + words(1), "", ""
+
+    out = []
+    while len(out) < n:
+        label = len(out) % 2
+        a, v, b, first, rest = secret() if label else plain()
+        run = first + v + rest
+        if len(run) < SHORTEST:
+            continue
+        text, start = a + run + b, len(a) + len(first)  # of the secret
+        at = list(windows(len(a), len(a) + len(run)))
+        shared = [min(e, start + len(v)) - max(s, start) for s, e in at]
+        clear = [e + AFTER <= start or start + len(v) <= s - BEFORE for s, e in at]
+        y = [(1 if n >= min(SHORTEST, len(v)) else 0 if c else -1) if label else 0 for n, c in zip(shared, clear, strict=True)]
+        out.append((np.array([symbols(text, s, e) for s, e in at]), np.array(y), label))
+    return out
+
 
-    x, y = [], []
-    while len(x) < n:
-        label = len(x) % 2
-        a, v, b = secret() if label else plain()
-        if len(v) >= 16 and re.search("[0-9]", v) and re.search("[A-Za-z]", v):
-            x.append(symbols(a + v + b, len(a), len(a) + len(v)))
-            y.append(label)
-    return np.array(x), np.array(y)
+def labelled_findings(n: int = FINDINGS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and labels of the labelled windows of generated findings."""
+    made = findings(n, seed)
+    x, y = np.concatenate([f[0] for f in made]), np.concatenate([f[1] for f in made])
+    return x[y >= 0], y[y >= 0]
 
 
 @functools.lru_cache(maxsize=4)
 def trained(n: int = FINDINGS, recall: float = RECALL, seed: int = 11) -> Network:
     """Trains on two thirds of the findings, calibrates and sets the threshold on the rest."""
-    x, y = labelled_findings(n, seed)
-    cut = 2 * n // 3
+    made = findings(n, seed)
+    held, made = made[2 * n // 3 :], made[: 2 * n // 3]
+    # a long finding weighs no more than some short ones
+    x, y = np.concatenate([f[0][:12] for f in made]), np.concatenate([f[1][:12] for f in made])
+    x, y = x[y >= 0], y[y >= 0]
+    cut = len(x)
     g = np.random.default_rng(seed)
     dim, size, k = 8, 5, 24
     net = Network(g.normal(0, 0.3, (97, dim)), g.normal(0, 0.2, (k, size * dim)), np.zeros(k), g.normal(0, 0.2, 2 * k), 0.0)
@@ -179,12 +232,12 @@ def trained(n: int = FINDINGS, recall: float = RECALL, seed: int = 11) -> Networ
                 m[a] = 0.9 * m[a] + 0.1 * grad[a]
                 v[a] = 0.999 * v[a] + 0.001 * np.square(grad[a])
                 setattr(net, a, getattr(net, a) - 0.01 * (m[a] / (1 - 0.9**t)) / (np.sqrt(v[a] / (1 - 0.999**t)) + 1e-8))
-    z, yc = net.logits(x[cut:]), y[cut:]
+    z, yc = np.array([net.logits(f[0]).max() for f in held]), np.array([f[2] for f in held])
     for _ in range(300):  # calibration: logistic regression on the logit
         e = sigmoid(net.scale * z + net.shift) - yc
         net.scale -= 0.1 * float(np.mean(e * z)) / (1 + float(np.mean(z * z)))
         net.shift -= 0.1 * float(np.mean(e))
-    found = np.sort(net.probability(x[cut:])[yc == 1])
+    found = np.sort(np.array([net.probability(f[0]).max() for f in held])[yc == 1])
     net.threshold = max(LEAST, float(found[int((1 - recall) * len(found))])) if len(found) else 1.0
     return net
 
@@ -194,17 +247,31 @@ def all_spans(items: list[str], net: Network) -> list[list[tuple[int, int, str,
 
     The network scores all of them; the patterns' spans stay at any score.
     """
-    base = [base_spans(x) for x in items]
-    asked, rows = [], []
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in items]
+    asked: list[tuple[int, int, int, str]] = []
+    best: list[float] = []
+    rows, of = [], []
+
+    def score() -> None:
+        for j, p in zip(of, net.probability(np.array(rows)) if rows else (), strict=True):
+            best[j] = max(best[j], float(p))
+        rows.clear()
+        of.clear()
+
     for i, x in enumerate(items):
-        clear = [(s, e, "learned") for s, e in candidates(x) if all(e <= a or b <= s for a, b, _ in base[i])]
-        for s, e, k in [*base[i], *clear]:
+        base = base_spans(x)
+        for s, e, k in [*base, *((s, e, "learned") for s, e in candidates(x, base))]:
             asked.append((i, s, e, k))
-            rows.append(symbols(x, s, e))
-    out: list[list[tuple[int, int, str, float]]] = [[] for _ in items]
-    for (i, s, e, k), p in zip(asked, net.probability(np.array(rows)) if rows else (), strict=True):
+            best.append(0.0)
+            for a, b in windows(s, e):
+                rows.append(symbols(x, a, b))
+                of.append(len(best) - 1)
+                if len(rows) >= AT_ONCE:
+                    score()
+    score()
+    for (i, s, e, k), p in zip(asked, best, strict=True):
         if k != "learned" or p >= net.threshold:
-            out[i].append((s, e, k, round(float(p), 6)))
+            out[i].append((s, e, k, round(p, 6)))
     return [sorted(x, key=lambda v: (v[0], KINDS.index(v[2]), v[1])) for x in out]
 
 

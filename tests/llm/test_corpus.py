@@ -80,6 +80,22 @@ def test_network_on_unseen_findings():
     assert [k for _, _, k, _ in secrets.all_spans([t], net)[0]] == ["assign", "hex"]
 
 
+def test_candidates_of_any_length_and_make():
+    net, r = secrets.trained(), random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    blob, key, path = "".join(r.choices(letters + "0123456789+/", k=1500)) + "==", "".join(r.choices(letters + "0123456789", k=36)), "/an/the/re/on/" * 12
+    url = f"{path}{key}{path}"  # the secret stands in the middle
+    for run in (blob, url, "".join(r.choices(letters, k=32))):
+        assert [x[:3] for x in secrets.all_spans([f"see {run} and"], net)[0]] == [(4, 4 + len(run), "learned")], run
+    for run in (path * 2, "-" * 600, "Donaudampfschifffahrtsgesellschaft"):
+        assert secrets.all_spans([f"see {run} and"], net)[0] == [], run
+    text = "x" * 20 + "/" + "AKIA" + "Z9" * 8 + "/" + key
+    assert secrets.candidates(text, secrets.base_spans(text)) == [(0, 21), (41, len(text))]
+    for n in (16, 40, 41, 60, 61, 999):
+        seen = {i for s, e in secrets.windows(7, 7 + n) for i in range(s, e)}
+        assert seen == set(range(7, 7 + n))
+
+
 # 2
 
 
