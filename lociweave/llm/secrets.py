@@ -37,8 +37,6 @@ BEFORE, INSIDE, AFTER = 24, 40, 8
 STEP, AT_ONCE = 20, 4096
 WIDTH = BEFORE + INSIDE + AFTER
 RECALL = 0.98
-#: The least calibrated probability of a span, whatever recall asks.
-LEAST = 0.9
 FINDINGS = 6000
 
 
@@ -112,7 +110,7 @@ class Network:
         return self.pooled(self.hidden(x)[1]) @ self.out + self.out_bias
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([sigmoid(self.scale * self.logits(x[i : i + 512]) + self.shift) for i in range(0, len(x), 512)] or [np.zeros(0)])
+        return np.concatenate([sigmoid(self.scale * self.logits(x[i : i + 128]) + self.shift) for i in range(0, len(x), 128)] or [np.zeros(0)])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -238,7 +236,7 @@ def trained(n: int = FINDINGS, recall: float = RECALL, seed: int = 11) -> Networ
         net.scale -= 0.1 * float(np.mean(e * z)) / (1 + float(np.mean(z * z)))
         net.shift -= 0.1 * float(np.mean(e))
     found = np.sort(np.array([net.probability(f[0]).max() for f in held])[yc == 1])
-    net.threshold = max(LEAST, float(found[int((1 - recall) * len(found))])) if len(found) else 1.0
+    net.threshold = float(found[min(len(found) - 1, int((1 - recall) * len(found) + 1e-9))]) if len(found) else 1.0
     return net
 
 

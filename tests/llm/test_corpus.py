@@ -80,6 +80,14 @@ def test_network_on_unseen_findings():
     assert [k for _, _, k, _ in secrets.all_spans([t], net)[0]] == ["assign", "hex"]
 
 
+def test_network_keeps_the_asked_recall():
+    held, unseen = (([f[0] for f in found if f[2]]) for found in (secrets.findings()[2 * secrets.FINDINGS // 3 :], secrets.findings(4000, 321)))
+    for recall in (0.9, secrets.RECALL, 0.99, 0.999):
+        net = secrets.trained(recall=recall)
+        kept = [np.mean([net.probability(x).max() >= net.threshold for x in found]) for found in (held, unseen)]
+        assert recall <= kept[0] < recall + 0.005 and kept[1] > recall - 0.01, (recall, kept)
+
+
 def test_candidates_of_any_length_and_make():
     net, r = secrets.trained(), random.Random(3)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
