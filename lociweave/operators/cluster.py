@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.kernels import infix_identity
+from ..functions.dna import reverse_complement
+from ..functions.kernels import infix_identity, reverse_complement as kernel_complement
 from ..sources.stage import prepared, written
 
 
@@ -25,29 +26,74 @@ def seeds(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("id", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring("seq", i, F.lit(k)))))).alias("seed"))
 
 
-def similar(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int = 5, dna: bool = False) -> DataFrame:
+def edits(n: Column, identity: float) -> Column:
+    """Most edits of n letters at an identity."""
+    return F.floor((1 - identity) * n + 1e-9).cast("int")
+
+
+def seed_length(rows: DataFrame, identity: float) -> int:
+    """The longest k such that each pair of that identity shares a k-mer: of e + 1 pieces, e edits leave one whole."""
+    n = F.length("seq")
+    return max(1, rows.where(n > 0).agg(F.min(F.floor(n / (edits(n, identity) + 1)))).first()[0] or 1)
+
+
+def whole_pieces(rows: DataFrame, identity: float, length_ratio: float, k: int) -> DataFrame:
+    """(a, b): DNA pairs, on either strand, of which a holds a piece of b near where an alignment would have it.
+
+    b is cut into a piece more than it may have edits; the first k letters of each are looked for. With e edits, the
+    piece that begins i letters into b begins i - e to i + e letters into a, more by what a is longer.
+    """
+    n = F.length("seq")
+    e = edits(n, identity)
+    both = rows.select("id", "seq").unionAll(rows.select("id", reverse_complement(F.col("seq")).alias("seq"))).where(n >= k)
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), e), lambda j: F.floor(j * n / (e + 1)).cast("int")))
+    short = both.select("id", n.alias("nb"), e.alias("e"), "seq", F.explode(starts).alias("i")).select(F.col("id").alias("b"), "nb", "e", "i", F.xxhash64(F.substring("seq", F.col("i") + 1, F.lit(k))).alias("seed"))
+    long = rows.where(n >= k).select(F.col("id").alias("a"), n.alias("na"), "seq", F.explode(F.sequence(F.lit(0), n - k)).alias("p")).select("a", "na", "p", F.xxhash64(F.substring("seq", F.col("p") + 1, F.lit(k))).alias("seed"))
+    order = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    near = F.col("p").between(F.col("i") - F.col("e"), F.col("i") + F.col("na") - F.col("nb") + F.col("e"))
+    return long.join(short, "seed").where(order & near & (F.col("nb") >= length_ratio * F.col("na"))).select("a", "b").distinct()
+
+
+def similar(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int | None = 5, dna: bool = False) -> DataFrame:
     """(a, b, identity), a before b in (length descending, id): pairs that share a k-mer, verified by infix identity.
 
     With at most (n - k) / (k + 1) edits, sequences of n letters share one; pairs that share none aren't compared.
+    Without k, it is the longest at which all pairs of the identity share one. DNA meets on both strands; an N matches
+    any letter in the verification only.
     """
     prepared(rows.sparkSession)
-    s = seeds(rows, k)
-    cand = s.select("seed", F.col("id").alias("a")).join(s.select("seed", F.col("id").alias("b")), "seed").where("a <> b").select("a", "b").distinct()
+    every = k is None
+    k = k or seed_length(rows, identity)
+    exact = every and dna and rows.where(F.contains("seq", F.lit("N"))).isEmpty()
+    if exact:
+        cand = whole_pieces(rows, identity, length_ratio, k)
+    else:
+        s = seeds(rows, k)
+        t = s.unionAll(seeds(rows.select("id", reverse_complement(F.col("seq")).alias("seq")), k)).distinct() if dna else s
+        cand = s.select("seed", F.col("id").alias("a")).join(t.select("seed", F.col("id").alias("b")), "seed").where("a <> b").select("a", "b").distinct()
     x = rows.select(F.col("id").alias("a"), F.col("seq").alias("sa"))
     y = rows.select(F.col("id").alias("b"), F.col("seq").alias("sb"))
     p = cand.join(x, "a").join(y, "b").where((F.length("sa") > F.length("sb")) | ((F.length("sa") == F.length("sb")) & (F.col("a") < F.col("b"))))
     p = p.where(F.length("sb") >= length_ratio * F.length("sa"))
 
+    def may(x: str, y: str) -> bool:
+        """Whether y shares as many 5-mers with x, on one strand, as its edits must leave."""
+        least = len(y) - 4 - 5 * int((1 - identity) * len(y) + 1e-9)
+        held = {x[i : i + 5] for i in range(len(x) - 4)}
+        return any(sum(z[i : i + 5] in held for i in range(len(z) - 4)) >= least for z in (y, kernel_complement(y)))
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["identity"] = [infix_identity(x, y, dna) for x, y in zip(b["sa"], b["sb"], strict=True)]
+            if exact:
+                b = b[[may(x, y) for x, y in zip(b["sa"], b["sb"], strict=True)]]
+            b = b.assign(identity=[infix_identity(x, y, dna) for x, y in zip(b["sa"], b["sb"], strict=True)])
             yield b.loc[b["identity"] >= identity, ["a", "b", "identity"]]
 
     t = rows.schema["id"].dataType.simpleString()
     return p.mapInPandas(verify, f"a {t}, b {t}, identity double")
 
 
-def greedy(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int = 5, dna: bool = False, rounds: int = 1000) -> DataFrame:
+def greedy(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int | None = 5, dna: bool = False, rounds: int = 1000) -> DataFrame:
     """(id, representative): each sequence, longest first, joins the most similar representative or becomes one.
 
     Rounds settle a sequence once all earlier similar ones are settled: it is a representative if none of them is.
@@ -107,7 +153,7 @@ def containment(rows: DataFrame, references: DataFrame, k: int, most: int) -> Da
     return out.select("genome", "ref", "shared", F.round(F.col("shared") / F.col("n"), 9).alias("containment"), rank.alias("rank")).where(F.col("rank") <= most)
 
 
-def coarsen(rows: DataFrame, identities: tuple[float, ...], length_ratio: float = 0.0, k: int = 5, dna: bool = False) -> DataFrame:
+def coarsen(rows: DataFrame, identities: tuple[float, ...], length_ratio: float = 0.0, k: int | None = 5, dna: bool = False) -> DataFrame:
     """(id, representative) at the last of descending identities; each step clusters the representatives of the one before."""
     out, left = rows.select("id", F.col("id").alias("representative")), rows
     for identity in identities:

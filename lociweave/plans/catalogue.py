@@ -501,7 +501,7 @@ def single_linkage(spark, sf):
 @_query()
 def greedy_cluster(spark, sf):
     d = V.dna_records(spark, sf).groupBy(F.col("dna").alias("seq")).agg(F.min("record").alias("id"))
-    return cluster.greedy(written(d), 0.9, 0.9, 12, True)
+    return cluster.greedy(written(d), 0.9, 0.9, None, True)
 
 
 @_query()

@@ -145,6 +145,25 @@ def test_greedy_equals_sequential(spark):
     assert got == want
 
 
+def test_dna_pairs_at_the_limit_of_identity_meet_on_both_strands(spark):
+    from lociweave.functions.kernels import infix_identity
+
+    r = random.Random(4)
+    seqs = {}
+    for i in range(0, 60, 3):
+        base = "".join(r.choices("ACGT", k=96))
+        at = [9 + 10 * j - (j > 5) for j in range(9)]  # nine edits, nine letters or fewer between them
+        far = "".join({"A": "C", "C": "G", "G": "T", "T": "A"}[c] if j in at else c for j, c in enumerate(base))
+        seqs |= {i: base, i + 1: far, i + 2: reverse_complement(far if i % 2 else base)}
+    df = spark.createDataFrame(list(seqs.items()), "id int, seq string")
+    want = {(a, b) for a in seqs for b in seqs if a < b and infix_identity(seqs[a], seqs[b], True) >= 0.9}
+    assert len(want) == 60 and cluster.seed_length(df, 0.9) == 9
+    assert {(a, b) for a, b, _ in rows(cluster.similar(df, 0.9, 0.9, None, True))} == want
+    assert dict(rows(cluster.greedy(df, 0.9, 0.9, None, True))) == {i: i - i % 3 for i in seqs}
+    masked = spark.createDataFrame([(0, seqs[0]), (1, "".join("N" if i % 8 == 7 else c for i, c in enumerate(seqs[0][:50])) + seqs[0][50:])], "id int, seq string")
+    assert rows(cluster.similar(masked, 0.9, 0.9, None, True)) == [(0, 1, 1.0)]
+
+
 def test_coarsening_and_extraction(spark):
     s = spark.createDataFrame([(1, "ACDEFGHIKLMNPQRSTVWY" * 2), (2, "ACDEFGHIKLMNPQRSTVWY" * 2), (3, "ACDEFGHIKLMNPQRSTVWA" + "ACDEFGHIKLMNPQRSTVWY"), (4, "YYYYYWWWWWVVVVV")], "id int, seq string")
     assert dict(rows(cluster.coarsen(s, (0.99, 0.9)))) == {1: 1, 2: 1, 3: 1, 4: 4}
