@@ -3,7 +3,8 @@
 Each record is a gzip member of its own. Spark's text writer puts the members on whatever store holds the shared
 folder; an empty gzip member, which every gzip reader passes over, stands between two records as its line
 separator. The reader checks each member and record (CRC, lengths, digests); after a failed check it searches for
-the next gzip member or version line, goes on there, and logs the bytes between as a quarantined gap.
+the next version line in a member's content, then for the next gzip member or version line, goes on there, and logs the
+bytes between as a quarantined gap. Of a broken member it keeps the records that pass their own checks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes inflated at once.
+PIECE = 65536
 
 
 def member(data: bytes, level: int = 5) -> bytes:
@@ -91,48 +94,91 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, start + size + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at a place; raises Damaged."""
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Content of the gzip member at a place as far as it goes, its end, and what failed (nothing if it is whole)."""
     z, out, view, i = zlib.decompressobj(31), [], memoryview(data), at
     try:
         while not z.eof:
             if i >= len(data):
-                raise Damaged("member without an end")
-            out.append(z.decompress(view[i : i + 65536]))
-            i = min(len(data), i + 65536)
-    except zlib.error as e:
-        raise Damaged("broken member") from e
-    return b"".join(out), i - len(z.unused_data)
+                return b"".join(out), len(data), "member without an end"
+            out.append(z.decompress(view[i : i + PIECE]))
+            i = min(len(data), i + PIECE)
+    except zlib.error:
+        # the content before the fault: from here byte by byte, which gives each byte as soon as it is known
+        z = zlib.decompressobj(31)
+        out = [z.decompress(view[at:i])]
+        try:
+            for j in range(i, min(len(data), i + PIECE)):
+                out.append(z.decompress(view[j : j + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), at, "broken member"
+    return b"".join(out), i - len(z.unused_data), ""
+
+
+def records_in(content: bytes) -> tuple[list[tuple[dict[str, str], bytes, int]], list[tuple[int, int, str]]]:
+    """(headers, block, end) of all whole records in plain content, and the gaps between."""
+    found, gaps, at = [], [], 0
+    while at < len(content):
+        try:
+            headers, block, end = parse(content, at)
+            found.append((headers, block, end))
+        except Damaged as e:
+            version = VERSION.search(content, at + 1)
+            end = version.start() if version else len(content)
+            if gaps and gaps[-1][0] + gaps[-1][1] == at:
+                gaps[-1] = (gaps[-1][0], end - gaps[-1][0], gaps[-1][2])
+            else:
+                gaps.append((at, end - at, str(e)))
+        at = end
+    return found, gaps
 
 
 def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
-    """All whole records of an archive, compressed or not, and its gaps as (offset, length, what failed)."""
+    """All whole records of an archive, compressed or not, and its gaps as (offset, length, what failed).
+
+    A record's offset is that of its member. A gap in a member that inflates whole is (the member's offset, bytes of
+    content, what failed). A member that doesn't is a gap up to the next place where one may begin, but its records
+    count as far as it inflates: of a broken one those whose block digest is right, of one without an end those that
+    end before the cut.
+    """
     records: list[Record] = []
     gaps: list[tuple[int, int, str]] = []
+    again: list[tuple[dict[str, str], bytes]] = []  # of a failed member, which may hold them as they are
     at = 0
     while at < len(data):
-        try:
-            if data.startswith(MAGIC, at):
-                content, end = inflate(data, at)
-                own, place = [], 0
-                while place < len(content):
-                    headers, block, place = parse(content, place)
-                    own.append(Record(headers, block, at))
-                records += own
+        if data.startswith(MAGIC, at):
+            content, end, failed = inflate(data, at)
+            own, lost = records_in(content)
+            if failed == "broken member":
+                own = [x for x in own if x[0].get("warc-block-digest", "").startswith("sha256:")]
+            elif failed:
+                own = [x for x in own if x[2] < len(content)]
+            records += [Record(headers, block, at) for headers, block, _ in own]
+            again = [x[:2] for x in own] if failed else []
+            if not failed:
+                gaps += [(at, n, what) for _, n, what in lost] if own else [(at, end - at, what) for _, _, what in lost[:1]]
                 at = end
-            else:
+                continue
+        else:
+            try:
                 headers, block, end = parse(data, at)
-                records.append(Record(headers, block, at))
+                if (headers, block) in again:
+                    again.remove((headers, block))
+                else:
+                    records.append(Record(headers, block, at))
                 at = end
-        except Damaged as e:
-            version = VERSION.search(data, at + 1)
-            found = [x for x in (data.find(MAGIC, at + 1), version.start() if version else -1) if x >= 0]
-            to = min(found, default=len(data))
-            if gaps and gaps[-1][0] + gaps[-1][1] == at:
-                gaps[-1] = (gaps[-1][0], gaps[-1][1] + to - at, gaps[-1][2])
-            else:
-                gaps.append((at, to - at, str(e)))
-            at = to
+                continue
+            except Damaged as e:
+                failed = str(e)
+        version = VERSION.search(data, at + 1)
+        found = [x for x in (data.find(MAGIC, at + 1), version.start() if version else -1) if x >= 0]
+        to = min(found, default=len(data))
+        if gaps and gaps[-1][0] + gaps[-1][1] == at:
+            gaps[-1] = (gaps[-1][0], gaps[-1][1] + to - at, gaps[-1][2])
+        else:
+            gaps.append((at, to - at, failed))
+        at = to
     return records, gaps
 
 

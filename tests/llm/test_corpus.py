@@ -264,6 +264,31 @@ def test_salvage_recovers_what_is_whole():
     assert warc.salvage(b"") == ([], [])
 
 
+def test_salvage_keeps_whole_records_of_a_damaged_member():
+    r = random.Random(8)
+    bodies = [bytes(r.randrange(256) for _ in range(3000)) for _ in range(6)]
+    parts = [warc.record(i, None, b, hashlib.sha256(b).hexdigest()) for i, b in enumerate(bodies)]
+    ids = lambda data: [warc.page_row(x)[0] for x in warc.salvage(data)[0]]
+    whole = warc.member(b"".join(parts))
+    assert ids(whole) == [0, 1, 2, 3, 4, 5] and warc.salvage(whole)[1] == []
+    bad = bytearray(parts[2])
+    bad[-50] ^= 1  # one block digest fails
+    packed = warc.member(b"".join([*parts[:2], bytes(bad), *parts[3:]]))
+    assert ids(packed + whole) == [0, 1, 3, 4, 5, 0, 1, 2, 3, 4, 5]
+    assert warc.salvage(packed)[1] == [(0, len(bad), "wrong block digest")]
+    cut = whole[: len(whole) // 2]
+    assert ids(cut) == [0, 1] and warc.salvage(cut)[1][-1] == (0, len(cut), "member without an end")
+    broken = bytearray(whole)
+    broken[-8] ^= 1  # the CRC
+    assert ids(bytes(broken) + warc.member(parts[0])) == [0, 1, 2, 3, 4, 5, 0]
+    stored = bytearray(warc.member(b"".join(parts), 0))  # holds the records as they are
+    stored[-8] ^= 1
+    assert ids(bytes(stored)) == [0, 1, 2, 3, 4, 5]
+    flat = warc.member(b"".join(parts[:1] + [warc.record(9, None, b"<p>" * 4000, "")]) + b"".join(parts[1:]))
+    torn = flat[: len(flat) // 2] + b"\xff" * 40 + flat[len(flat) // 2 + 40 :]
+    assert ids(torn)[:3] == [0, 9, 1]
+
+
 def test_archives_round_trip(spark, tmp_path):
     big = "x" * 150
     pages = [(5, "u\r\nv é", big), (3, "u", big), (9, None, big), (1, "u", "short"), (2, "u", "short"), (7, "u", None), (8, "u", ""), (None, "u", big), (4, "u", "é" * 60 + "\0\r\n\r\nWARC/1.1\r\n")]
