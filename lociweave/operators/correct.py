@@ -96,12 +96,13 @@ def collapse_families(members: DataFrame, em: DataFrame, similar: DataFrame, dep
     for depth in depths:
         for _ in range(rounds):
             e = em.select("a", "b").distinct()
-            centres = graph.both_ways(e).groupBy("node").count().where("count > 2").select(F.col("node").alias("cluster"))
-            wanted = sim.select(F.col("a").alias("node")).unionAll(sim.select(F.col("b").alias("node"))).distinct()
-            near = written(graph.within(e, centres, depth).select("source", "node").join(wanted, "node", "left_semi"))
-            close = sim.join(near.withColumnRenamed("node", "a"), "a").join(near.withColumnRenamed("node", "b"), ["source", "b"], "left_semi").select("a", "b").distinct()
-            both = close.join(members.withColumnRenamed("cluster", "a"), "a").join(members.withColumnRenamed("cluster", "b"), ["b", "genome"], "left_semi").select("a", "b").distinct()
-            free = written(close.join(both, ["a", "b"], "left_anti"))
+            centres = graph.both_ways(e).groupBy("node").count().where("count > 2").select("node")
+            # pairs that share a genome never can merge, as genomes only come to a cluster
+            both = sim.join(members.withColumnRenamed("cluster", "a"), "a").join(members.withColumnRenamed("cluster", "b"), ["b", "genome"], "left_semi").select("a", "b").distinct()
+            sim = written(sim.join(both, ["a", "b"], "left_anti"))
+            wanted = sim.select(F.col("a").alias("cluster")).unionAll(sim.select(F.col("b").alias("cluster"))).distinct()
+            near = written(graph.within(e, written(wanted), depth, written).join(centres, "node", "left_semi").select(F.col("source").alias("word"), "node"))
+            free = written(sim.join(near.withColumnRenamed("word", "a"), "a").join(near.withColumnRenamed("word", "b"), ["node", "b"], "left_semi").select("a", "b").distinct())
             if free.isEmpty():
                 break
             sup = matrix.support(members)
@@ -119,8 +120,8 @@ def collapse_families(members: DataFrame, em: DataFrame, similar: DataFrame, dep
     return members, em, names
 
 
-def one_edit_apart(words: DataFrame, least: int = 8) -> DataFrame:
-    """(a, b): words of at least so many letters that one edit turns into each other, met under their one-letter deletions."""
+def one_edit_apart(words: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b): words (of at least so many letters) that one edit turns into each other, met under their one-letter deletions."""
     w = words.where(F.length("cluster") >= least)
     cut = F.transform(F.sequence(F.lit(1), F.length("cluster")), lambda i: F.concat(F.substring("cluster", F.lit(1), i - 1), F.substring("cluster", i + 1, F.length("cluster"))))
     v = w.select("cluster", F.explode(F.array_distinct(F.array_append(cut, F.col("cluster")))).alias("v"))

@@ -103,6 +103,12 @@ def test_families_merge_without_conflict(spark):
     assert dict(rows(correct.collapse_families(matrix.presence(both), graph.edge_members(both), sim)[2]))["y"] == "y"
 
 
+def test_short_words_are_one_edit_apart_too(spark):
+    words = ["a", "b", "an", "ant", "aunt", "tree", "trees", "zzz"]
+    got = rows(correct.one_edit_apart(spark.createDataFrame([(w,) for w in words], "cluster string")))
+    assert got == [("a", "an"), ("a", "b"), ("an", "ant"), ("ant", "aunt"), ("tree", "trees")]
+
+
 def test_find_missing_finds_a_dropped_gene(spark):
     r = random.Random(5)
     seq = {g: "".join(r.choices("ACGT", k=60)) for g in "abc"}
