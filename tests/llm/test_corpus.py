@@ -140,6 +140,44 @@ def test_machine_learns_pairs_and_held_out_rows_stay_out(spark, sf, docs):
     assert all(x.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= x.score <= 1 and x.predicted == (x.score >= 0.7) for i, x in got.items())
 
 
+def test_machine_finds_terms_that_tell_nothing_alone():
+    for seed, rule in ((1, lambda a, b: a ^ b), (2, lambda a, b: a & b), (3, lambda a, b: 1 - (a ^ b))):
+        r, data = np.random.default_rng(seed), []
+        for _ in range(4000):
+            a, b = r.random(2) < 0.5
+            data.append((np.unique(np.array([*r.integers(10, 60, 6), *([1] if a else []), *([2] if b else [])], np.int32)), int(rule(int(a), int(b)))))
+        m = toxicity.train(data)
+        at = {int(t): i for i, t in enumerate(m.terms)}
+        for a in (0, 1):
+            for b in (0, 1):
+                score = m.score(np.array([at[t] for t, on in ((1, a), (2, b)) if on], np.int64))
+                assert (score >= 0.7) == bool(rule(a, b)), (seed, a, b, score)
+
+
+def test_scores_equal_the_sum_over_pairs(spark, sf, docs):
+    labels = table(spark, sf, "labels")
+    m = toxicity.learned(docs, labels)
+    place = {int(t): i for i, t in enumerate(m.terms)}
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    for d in docs.collect():
+        hashed = {zlib.crc32(x.encode()) % toxicity.BUCKETS for w in re.findall(r"[^\W_]+", d.text.lower()) for x in {w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) >= k)}}
+        on = sorted(place[t] for t in hashed if t in place)
+        z = m.bias + sum(float(m.weights[i]) for i in on) + sum(float(np.dot(m.vectors[i], m.vectors[j])) for k, i in enumerate(on) for j in on[:k])
+        assert got[d.doc_id] == pytest.approx(1 / (1 + np.exp(-min(30, max(-30, z)))), abs=1e-9)
+
+
+def test_repeated_labelled_documents_count_once(spark):
+    d = spark.createDataFrame([(i % 6, f"bad word{j}" if i % 2 else f"good word{j}") for j in range(40) for i in range(6)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    seen = []
+    real, toxicity.train = toxicity.train, lambda x: seen.append(len(x)) or real(x)
+    try:
+        first, again = (toxicity.learned(d.repartition(n), lab, 3) for n in (1, 7))
+    finally:
+        toxicity.train = real
+    assert seen[0] == seen[1] <= 3 and np.array_equal(first.terms, again.terms) and first.bias == again.bias
+
+
 def test_toxicity_holds_on_unseen_rows(spark):
     sf = "/root/testdata/sf0.1"
     lab = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
@@ -450,13 +488,31 @@ def test_field_uses_distant_mentions():
     assert right / total > 0.8 and wrong / clean < 0.02
 
 
-def test_field_reaches_over_any_number_of_repeats():
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 13, 30, 100])
+def test_field_labels_all_of_any_number_of_repeats(n):
     f = pii.trained()
-    full, short = "call +1 (213) 555-7713 please", ["or 213-555-7713 now and then"] * 30
-    for parts in ([full, *short], [*short, full], [*short[:15], full, *short[15:]]):
-        text = "\n".join(parts)
-        assert len(pii.added_spans(text, pii.base_spans(text), f)) == 30
-    assert pii.added_spans("\n".join(short), [], f) == []
+    for form in ("213-555-7713", "(213) 555-7713", "555-7713"):
+        full, short = "call +1 (213) 555-7713 please", [f"or {form} now and then"] * n
+        for parts in ([full, *short], [*short, full], [*short[: n // 2], full, *short[n // 2 :]]):
+            text = "\n".join(parts)
+            assert len(pii.added_spans(text, pii.base_spans(text), f)) == n
+    assert pii.added_spans("\n".join(["or 213-555-7713 now and then"] * n), [], f) == []
+
+
+def test_addresses_of_any_length():
+    r = random.Random(9)
+    for _ in range(3000):
+        x = "".join(r.choice(["a", "b.c", "@", "@", " ", "\n", "é", ">", "\u2003"]) for _ in range(r.randint(1, 20)))
+        assert list(pii.addresses(x)) == [m.span() for m in re.finditer(r"[^\s@]+@[^\s@]*", x)], x
+    long = "write to " + "u" * 5000 + ".12@mail3.example.com or " + "u" * 5000 + ".12@mail3 now"
+    b = pii.base_spans(long)
+    assert [e - s for s, e, _ in b] == [5021] and [e - s for s, e, _ in pii.added_spans(long, b, pii.trained())] == [5009]
+
+
+def test_personal_data_of_odd_rows(spark, odd):
+    got = {r.doc_id: r for r in pii.personal_data(clash(odd)).collect()}
+    assert len(got) == len({d[0] for d in ODD}) and all(got[i].spans == "" and got[i].base_sha256 == hashlib.sha256(b"").hexdigest() for i in (None, 1, 2, 7))
+    assert pii.personal_data(odd.limit(0)).count() == 0
 
 
 # 10
