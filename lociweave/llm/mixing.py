@@ -3,9 +3,11 @@
 A source is taken target / size times: each document the whole part of that, and once more with the probability of
 the rest. Which ones is decided by the cube method: the vector of probabilities is moved through the null space of
 the constraints (number of documents, number of words) until an entry is 0 or 1, which leaves both totals exactly as
-they were, again and again. Chunks of a source fly in parallel, large documents first; what each leaves undecided
-(two small documents at most) flies again with that of the other chunks, and the last two of a source are landed by
-the least deviation in words. Copies of one document are one unit, of which all but a fraction is decided at once.
+they were, again and again, the largest open document first and the next ones in balance against it. Chunks of a
+source fly in parallel; the small documents that each leaves undecided (two at most) fly again with those of the other
+chunks. The last two of a source land: the first constraint given up is that on documents, then that on words. Every
+move is as likely to go up as down, by its lengths, so each document keeps its probability from start to end, in
+sources of any size. Copies of one document are one unit, of which all but a fraction is decided at once.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Units that fly together in one task.
 CHUNK = 4096
-#: Units that stay aground in a flight, and units that it leaves undecided at most.
-AGROUND, LEFT = 12, 14
+#: Units that a flight leaves undecided at most, and units that balance one.
+LEFT, BALLAST = 2, 256
 #: Sources up to which their table is broadcast.
 BROADCAST = 50_000
 EPS = 1e-9
@@ -66,73 +68,52 @@ def targets(sizes: DataFrame) -> DataFrame:
     return src.select("source", "rank", "source_size", "docs", target.alias("target"))
 
 
-def fly(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
-    """Flight: moves probabilities, keeping their sum and the sum of p * size, until at most two are undecided."""
-    p = p.astype(float).tolist()
-    s = size.astype(float).tolist()
-    draw = np.random.default_rng(seed).random(2 * len(p) + 4).tolist()
-    active: list[int] = []
-    for i in range(len(p)):
-        if not EPS < p[i] < 1 - EPS:
-            p[i] = float(round(p[i]))
-            continue
-        active.append(i)
-        while len(active) == 3 or len(active) == 2 and s[active[0]] == s[active[1]]:
-            a, b = active[0], active[1]
-            if len(active) == 2 or s[a] == s[b]:
-                u = [1.0, -1.0, 0.0]
-            else:
-                c = active[2]
-                u = [s[b] - s[c], s[c] - s[a], s[a] - s[b]]
-            up = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip(active, u, strict=False) if x)
-            down = min(p[i] / x if x > 0 else (1 - p[i]) / -x for i, x in zip(active, u, strict=False) if x)
-            step = up if draw.pop() * (up + down) < down else -down
-            for j, x in zip(active, u, strict=False):
-                p[j] += step * x
-            for j in active:
-                if p[j] < EPS:
-                    p[j] = 0.0
-                elif p[j] > 1 - EPS:
-                    p[j] = 1.0
-            active = [j for j in active if 0 < p[j] < 1]
-    return np.array(p)
-
-
-def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Landing: decides the last few by the least deviation of words, then of documents."""
+def against(size: np.ndarray, weight: np.ndarray) -> np.ndarray | None:
+    """What the other units move when the first moves by 1, so that neither total does; None if they can't.
+
+    Of all ways it is the least one, measured by the weights (the others' distance from being decided).
+    """
+    z = (size[1:] - size[0]) / max(1.0, size[0])
+    s0, s1, s2 = weight.sum(), weight @ z, weight @ (z * z)
+    if s2 <= 0:  # all of one size
+        return -weight / s0
+    det = s0 * s2 - s1 * s1
+    return -weight * (s2 - s1 * z) / det if det > 1e-9 * s0 * s2 else None
+
+
+def move(p: np.ndarray, u: np.ndarray, draw: float) -> np.ndarray:
+    """p moved along u, up or down, until an entry is 0 or 1; p stays in expectation."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(u > 0, (1 - p) / u, np.where(u < 0, p / -u, np.inf)).min()
+        down = np.where(u > 0, p / u, np.where(u < 0, (1 - p) / -u, np.inf)).min()
+    p = p + (up if draw * (up + down) < down else -down) * u
+    return np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p))
+
+
+def fly(p: np.ndarray, size: np.ndarray, seed: int, land: bool = False) -> np.ndarray:
+    """Moves the probabilities of units of descending sizes, keeping their sum and the sum of p * size, until at most two
+    are undecided; these are decided too if asked for."""
+    p = np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p.astype(float)))
+    size, r = size.astype(float), np.random.default_rng([seed, len(p)])
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    if not len(open_):
-        return p
-    words, docs = float(p[open_] @ size[open_]), float(p[open_].sum())
-    ways = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1).astype(float)
-    p[open_] = ways[np.lexsort((np.abs(ways.sum(1) - docs), np.abs(ways @ size[open_] - words)))[0]]
+    while len(open_) > 1:
+        at = open_[: BALLAST + 1]
+        weight = np.minimum(p[at[1:]], 1 - p[at[1:]])
+        u = against(size[at], weight)
+        if u is None and len(at) > 2:  # the others are of one size: two of them move
+            at, u = at[1:3], np.array([-1.0])
+        if u is None:
+            break
+        p[at] = move(p[at], np.concatenate([[1.0], u]), r.random())
+        open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
+    if land and len(open_) == 2:
+        p[open_] = move(p[open_], size[open_[::-1]] * [1.0, -1.0], r.random())
+        open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
+    if land and len(open_):
+        p[open_] = r.random() < p[open_]
     return p
 
 
-def halving(size: np.ndarray, among: np.ndarray, n: int) -> np.ndarray:
-    """n of the units, whose sizes descend: again and again the first, the next of at most half its size, and so on."""
-    left, out = among.tolist(), []
-    while left and len(out) < n:
-        last, taken = np.inf, set()
-        for i in left:
-            if size[i] <= last / 2 and len(out) < n:
-                out.append(i)
-                taken.add(i)
-                last = size[i]
-        left = [i for i in left if i not in taken]
-    return np.array(sorted(out), np.int64)
-
-
-def fly_chunk(p: np.ndarray, size: np.ndarray, seed: int, last: bool) -> np.ndarray:
-    """Flight of all but a few undecided units, of descending sizes; the last flight of a source ends in its landing."""
-    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-    stay = halving(size, open_, AGROUND)
-    rest = np.setdiff1d(np.arange(len(p)), stay)
-    p = p.copy()
-    p[rest] = fly(p[rest], size[rest], seed)
-    return land(p, size) if last else p
-
-
 UNIT = "rank int, doc_id bigint, size bigint, p double, chunk bigint"
 
 
@@ -140,7 +121,7 @@ def _fly(level: int, last: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last", kind="stable")
         size = rows["size"].to_numpy()
-        rows["p"] = fly_chunk(rows["p"].to_numpy(), size, abs(hash((seed, level, int(key[0]), int(key[1])))) % 2**63, last)
+        rows["p"] = fly(rows["p"].to_numpy(), size, abs(hash((seed, level, int(key[0]), int(key[1])))) % 2**63, last)
         return rows
 
     return run

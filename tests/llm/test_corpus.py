@@ -212,7 +212,8 @@ def fill(sizes):
     return out
 
 
-def test_mix_meets_targets_and_repeats(spark, docs):
+def test_mix_meets_targets_and_repeats(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = mixing.mix(docs).collect()
     d = {r.doc_id: (len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.source) for r in docs.collect()}
     sizes = Counter()
@@ -230,12 +231,24 @@ def test_mix_meets_targets_and_repeats(spark, docs):
 def test_flight_keeps_totals_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 50)
     r = random.Random(6)
-    d = spark.createDataFrame([("s", i, r.choice([3, 3, 5, 80, 400])) for i in range(700)] + [("t", i, 7) for i in range(300)], "source string, doc_id long, size long")
+    d = spark.createDataFrame([("s", i, r.choice([3, 5, r.randint(3, 400)])) for i in range(700)] + [("t", i, 7) for i in range(300)], "source string, doc_id long, size long")
     p = mixing.plan(d)
     got = p.selectExpr("source", "size * (base * m + extra) as t", "target", "m").groupBy("source").agg({"t": "sum", "target": "max"}).collect()
     assert all(abs(x["sum(t)"] - x["max(target)"]) <= 40 for x in got)
-    q = mixing.fly(np.full(40, 0.3), np.arange(40) + 1, 1)
-    assert q.sum() == pytest.approx(12) and (q @ (np.arange(40) + 1)) == pytest.approx(0.3 * 820) and ((q > 0) & (q < 1)).sum() <= 2
+    size = np.arange(40, 0, -1)
+    q = mixing.fly(np.full(40, 0.3), size, 1)
+    assert q.sum() == pytest.approx(12) and (q @ size) == pytest.approx(0.3 * 820) and ((q > 0) & (q < 1)).sum() <= 2
+
+
+def test_every_document_keeps_its_probability():
+    g = np.random.default_rng(4)
+    for n in (1, 2, 5, 12, 40, 200):
+        for p in (np.full(n, 0.3), g.uniform(0.05, 0.95, n)):
+            size = np.sort(g.choice([3, 3, 3, 17, 50, 81, 400, 2000], n))[::-1]
+            got = np.array([mixing.fly(p, size, seed, True) for seed in range(400)])
+            assert set(np.unique(got)) <= {0.0, 1.0} and len({tuple(x) for x in got}) > 1
+            assert np.abs(got.mean(0) - p).max() < 0.08
+            assert np.abs(got.sum(1) - p.sum()).max() < 2 and (n < 200 or np.abs(got @ size - p @ size).max() <= 17)
 
 
 def test_mix_of_odd_rows_and_copies(spark, odd):
