@@ -284,13 +284,53 @@ def test_windows_in_small_blocks_equal_brute_force(spark):
                         hit |= set(range(b, b + n))
                         own |= {str(item)} if item is not None else set()
         want.append((i, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)))
-    assert sorted(rows(decontaminate.contamination(docs, bench))) == sorted(want)
+    for block in (1 << 20, 20):
+        assert sorted(rows(decontaminate.contamination(docs, bench, block))) == sorted(want)
     small = decontaminate.longest_matches(docs, bench, 20)
     assert sorted((r.doc_id, r.hits.n_words, sum(e - s for s, e in r.hits.spans), len(r.hits["items"])) for r in small.collect()) == sorted(x[:4] for x in want)
     kept = decontaminate.decontaminate(clash(docs), bench, 20)
     assert kept.columns == clash(docs).columns and sorted(r[0] for r in kept.collect()) == sorted(x[0] for x in want if not x[5])
 
 
+def test_longest_matches_equal_brute_force():
+    r = random.Random(1)
+    split = lambda t: re.findall(r"[0-9a-z]+", t.lower())
+    for trial in range(200):
+        word = lambda k=r.randint(1, 7): r.choice("abcdefg"[:k])
+        items = [(str(i), " ".join(word() for _ in range(r.choice([0, 1, 3, 9, 10, 11, 14, 30])))) for i in range(r.randint(1, 8))]
+        texts = [" ".join([*(word() for _ in range(r.randint(0, 30))), *r.choice(items)[1].upper().split(), *["zzz"] * r.randint(0, 1), *(word() for _ in range(r.randint(0, 12)))]) for _ in range(r.randint(1, 6))]
+        block = decontaminate.build_block(items)
+        found = decontaminate.shard_matches(texts, block)
+        for d, t in enumerate(texts):
+            w, best, end, want = split(t), {}, -1, []
+            for _, x in items:
+                v = split(x)
+                n = min(10, len(v))
+                for a in range(len(v) - n + 1 if v else 0):
+                    for b in range(len(w) - n + 1):
+                        if w[b : b + n] == v[a : a + n]:
+                            k = n
+                            while n == 10 and a + k < len(v) and b + k < len(w) and v[a + k] == w[b + k]:
+                                k += 1
+                            best[b] = max(best.get(b, 0), k)
+            for b in sorted(best):
+                if b + best[b] > end:
+                    want.append((b, best[b]))
+                    end = b + best[b]
+            got = [m for m in found.longest if m[0] == d]
+            assert [m[1:3] for m in got] == want, trial
+            assert all(split(dict(items)[block.items[i]])[j : j + n] == w[s : s + n] for _, s, n, i, j in got)
+
+
+def test_longest_matches_of_two_items_stay_two(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    bench = spark.createDataFrame([("A", a), ("B", b)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"x {a} {b} y"), (1, f"x {a} {b} y"), (2, "x " + " ".join(a.split()[1:]) + " y"), (3, None)], "doc_id long, text string")
+    for block in (1 << 20, 10):
+        got = sorted((r.doc_id, [tuple(m) for m in r.hits.longest]) for r in decontaminate.longest_matches(docs, bench, block).collect())
+        assert got == [(1, [(1, 12, "A", 0), (13, 12, "B", 0)])] * 2 + [(2, [(1, 11, "A", 1)]), (3, [])]
+
+
 def test_contamination_of_odd_rows(spark, odd, sf):
     assert decontaminate.contamination(clash(odd), table(spark, sf, "benchmark")).count() == len(ODD)
     assert not any(r.contaminated for r in decontaminate.contamination(odd, table(spark, sf, "benchmark").limit(0)).collect())
