@@ -1,10 +1,11 @@
 """Exact top-k by inner product, score at a time over an impact-ordered index.
 
-Each block of candidates is indexed by impact: the postings (vector, dimension) are grouped in segments by the bit
-length of the component's size, largest first. All queries of a block take the segments in that order; after each,
-what the rest can still add to a score is at most its largest impact times the sum of the query's sizes. A vector
-whose score so far plus that can't reach the k-th best lower bound is no member; when few are left, or no segment
-is, those are scored exactly with integers. Nothing else ends a search.
+Each block of candidates is indexed by impact: a posting is a vector with a component in a dimension, and a segment has
+the postings of one bit length of the component, a list for each dimension. A few queries at a time take the segments by
+descending impact and add the postings up for the candidates that are still possible. What the rest can yet add to a score is at most
+the largest impact left times the sum of the query's sizes, and at most the product of the query's length and that of what is
+left of the vector, which the index keeps for each segment. A vector whose score so far plus that can't reach the k-th best lower
+bound is no member. When few pairs are left, or no segment is, those are scored exactly with integers. Nothing else ends a search.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import prepared, table
 
 K, EVERY, SCALE = 5, 50, 256
-#: Queries in a broadcast block, candidates in an indexed block, and the part of a block that may be scored exactly early.
-QUERIES, CANDIDATES, FEW = 16_384, 8_192, 0.02
-#: (query, candidate) scores held at a time.
-HELD = 4 << 20
+#: Queries in a broadcast block, queries that go through the segments together, candidates in an indexed block, and the part of their pairs
+#: that may be scored exactly early.
+QUERIES, TOGETHER, CANDIDATES, FEW = 16_384, 128, 8_192, 0.05
+#: Bounds are looked at once no more than this part of the vectors' squared length is left.
+MUCH = 0.1
 
 
 def matrix(vectors: list[list[int]], width: int) -> np.ndarray:
@@ -39,38 +41,46 @@ class ImpactIndex:
         self.ids, self.rows = ids, rows
         self.most = int(np.abs(rows).max(initial=0))
         level = np.frexp(np.abs(rows).astype(np.float64))[1]  # bit length: v < 2 ** level
-        self.segments = [(2 ** (int(b) - 1) - 1, np.where(level == b, rows, 0)) for b in np.unique(level)[::-1] if b > 0]
+        left = np.square(rows.astype(np.float64)).sum(1)
+        #: (postings by dimension as candidates and components, largest impact left, length left of each candidate)
+        self.segments: list[tuple[list[tuple[int, np.ndarray, np.ndarray]], int, np.ndarray]] = []
+        for b in np.unique(level)[::-1].tolist():
+            if b > 0:
+                dim, at = np.nonzero((level == b).T)
+                cuts = np.searchsorted(dim, np.arange(rows.shape[1] + 1)).tolist()
+                lists = [(j, at[x:y], rows[at[x:y], j]) for j, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+                left = left - np.where(level == b, np.square(rows.astype(np.float64)), 0).sum(1)
+                self.segments.append((lists, 2 ** (b - 1) - 1, np.sqrt(np.maximum(left, 0)) * (1 + 1e-9)))
 
     def search(self, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, candidate id, score) of all possible members of the k best; floor: the k-th best score elsewhere."""
         n, d = self.rows.shape
         reach = d * self.most * int(np.abs(queries).max(initial=0))
-        if reach >= 2**53:  # beyond exact floats: every candidate is scored with whole numbers
-            keep = own[:, None] != self.ids[None, :]
-            q, c = np.nonzero(keep)
-            return q, self.ids[c], exact(queries, self.rows, q, c, reach)
-        kind = np.float32 if reach < 2**24 else np.float64
-        weights = queries.astype(kind)
-        sizes = np.abs(weights).sum(1)
-        score = np.zeros((len(queries), n), kind)
-        same = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
-        open_ = np.ones((len(queries), n), bool)
-        for i in np.flatnonzero(same[1] > same[0]):
-            open_[i, same[0][i] : same[1][i]] = False
-        for i, (rest, segment) in enumerate(self.segments):
-            score += weights @ segment.T.astype(kind)
-            slack = (rest if i + 1 < len(self.segments) else 0) * sizes.astype(np.float64)
-            low = np.where(open_, score, -np.inf)
-            bound = floor
-            if n >= k:
-                bound = np.maximum(floor, np.partition(low, n - k, 1)[:, n - k] - slack)
-            possible = open_ & (score + slack[:, None] >= bound[:, None])
-            if possible.mean() <= FEW:  # proof for all the others
-                break
-        else:
-            if not self.segments:
-                possible = open_
-        q, c = np.nonzero(possible)
+        possible = self.ids[:, None] != own[None, :]
+        if reach < 2**53:  # beyond exact floats every candidate is scored with whole numbers
+            kind = np.float32 if reach < 2**24 else np.float64
+            weights = queries.T.astype(kind, order="C")
+            sizes, lengths = np.abs(weights).sum(0, dtype=np.float64), np.sqrt(np.square(weights, dtype=np.float64).sum(0))
+            whole = np.square(self.rows.astype(np.float64)).sum()
+            score, alive, all_alive = np.zeros((n, len(queries)), kind), np.ones(n, bool), True
+            for i, (lists, impact, left) in enumerate(self.segments):
+                for j, at, value in lists:
+                    if not all_alive:
+                        keep = alive[at]
+                        at, value = at[keep], value[keep]
+                    score[at] += value.astype(kind)[:, None] * weights[j]
+                last = i + 1 == len(self.segments)
+                if not last and left @ left > MUCH * whole:
+                    continue  # too much is left to prove anything
+                slack = np.zeros((n, 1)) if last else np.minimum(impact * sizes[None, :], left[:, None] * lengths[None, :])
+                if n >= k and not np.isfinite(floor).all():
+                    floor = np.maximum(floor, np.partition(np.where(possible, score - slack, -np.inf), n - k, 0)[n - k])
+                possible &= score + slack >= floor
+                alive = possible.any(1)  # proof for all the others
+                all_alive = bool(alive.all())
+                if possible.mean() <= FEW:
+                    break
+        c, q = np.nonzero(possible)
         return q, self.ids[c], exact(queries, self.rows, q, c, reach)
 
 
@@ -98,7 +108,7 @@ def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.
 def _search(shared, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, queries = shared.value
-        step = max(1, HELD // CANDIDATES)
+        step = TOGETHER
         held = [(np.zeros(0, np.int64),) * 3 for _ in range(0, len(own), step)]
         floors = np.full(len(own), -np.inf)
 
