@@ -2,13 +2,14 @@
 
 Each record is a gzip member of its own. Spark's text writer puts the members on whatever store holds the shared
 folder; an empty gzip member, which every gzip reader passes over, stands between two records as its line
-separator. The reader checks each member and record (CRC, lengths, digests); after a failed check it searches for
+separator. The reader checks each member and record (CRC, lengths, digests of block and payload); after a failed check it searches for
 the next version line in a member's content, then for the next gzip member or version line, goes on there, and logs the
 bytes between as a quarantined gap. Of a broken member it keeps the records that pass their own checks.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -27,6 +28,8 @@ FILE_BYTES = 24 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+ENCODED = re.compile(rb"(?i)\r\n(?:transfer|content)-encoding:")
+PAGE = re.compile(r"<urn:page:(-?\d+)>")
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes inflated at once.
 PIECE = 65536
@@ -72,6 +75,23 @@ class Damaged(ValueError):
     """A check failed."""
 
 
+def differs(said: str, data: bytes) -> bool:
+    """Whether a digest header, of an algorithm that is known here and in hex or base 32, is not that of the data."""
+    name, _, value = said.partition(":")
+    if name.lower() not in ("sha1", "sha256", "md5") or not value:
+        return False
+    got = hashlib.new(name.lower(), data).digest()
+    return value.lower() != got.hex() and value.upper().rstrip("=") != base64.b32encode(got).decode().rstrip("=")
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, bytes]:
+    """HTTP head and payload of a record; records of other content are all payload."""
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        return head, payload
+    return b"", block
+
+
 def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at a place; raises Damaged."""
     if not VERSION.match(data, at):
@@ -88,9 +108,12 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if size < 0 or data[start + size : start + size + 4] != b"\r\n\r\n":
         raise Damaged("wrong length")
     block = data[start : start + size]
-    said = headers.get("warc-block-digest", "")
-    if said.startswith("sha256:") and hashlib.sha256(block).hexdigest() != said[7:]:
+    if differs(headers.get("warc-block-digest", ""), block):
         raise Damaged("wrong block digest")
+    head, payload = payload_of(headers, block)
+    # a revisit has no payload, and which form of an encoded one a foreign digest is of can't be told
+    if headers.get("warc-type") != "revisit" and not ENCODED.search(head) and differs(headers.get("warc-payload-digest", ""), payload):
+        raise Damaged("wrong payload digest")
     return headers, block, start + size + 4
 
 
@@ -151,7 +174,7 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
             content, end, failed = inflate(data, at)
             own, lost = records_in(content)
             if failed == "broken member":
-                own = [x for x in own if x[0].get("warc-block-digest", "").startswith("sha256:")]
+                own = [x for x in own if x[0].get("warc-block-digest", "").partition(":")[0].lower() in ("sha1", "sha256", "md5")]
             elif failed:
                 own = [x for x in own if x[2] < len(content)]
             records += [Record(headers, block, at) for headers, block, _ in own]
@@ -183,14 +206,18 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
 
 
 def page_row(r: Record) -> tuple[int | None, int, str, str, int | None]:
-    """(page_id, payload bytes, payload digest, type, refers_to) of a record; a response's are those of its payload."""
-    number = lambda x: int(x[10:-1]) if len(x) > 11 else None
-    head, _, payload = r.block.partition(b"\r\n\r\n")
-    digest = r.headers.get("warc-payload-digest", "").removeprefix("sha256:")
-    if r.headers["warc-type"] == "revisit":
-        size = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)[1])
-        return number(r.headers["warc-record-id"]), size, digest, "revisit", number(r.headers["warc-refers-to"])
-    return number(r.headers["warc-record-id"]), len(payload), hashlib.sha256(payload).hexdigest(), "response", None
+    """(page_id, payload bytes, payload digest, type, refers_to) of a record of any archive.
+
+    The ids are null unless they are of pages written here. Bytes and SHA-256 are those of the payload that the record
+    holds; of a revisit, those that it states (null bytes where it states none).
+    """
+    number = lambda x: int(m[1]) if (m := PAGE.fullmatch(r.headers.get(x, ""))) else None
+    head, payload = payload_of(r.headers, r.block)
+    kind = r.headers.get("warc-type", "unknown")
+    if kind == "revisit":
+        size = re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)
+        return number("warc-record-id"), int(size[1]) if size else None, r.headers.get("warc-payload-digest", "").removeprefix("sha256:"), kind, number("warc-refers-to")
+    return number("warc-record-id"), len(payload), hashlib.sha256(payload).hexdigest(), kind, None
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,13 +240,17 @@ def write_archives(pages: DataFrame, to: str, file_bytes: int = FILE_BYTES) -> N
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     thin = written(pages.select("page_id", "digest", F.octet_length("html").alias("size")))
-    n, total = thin.agg(F.count("*"), F.sum("size")).first()
+    n, total, most = thin.agg(F.count("*"), F.sum("size"), F.max("size")).first()
     groups = thin.where(F.col("size") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     rows = left_join_hot(pages, "digest", groups.select("digest", "first"), groups.select("digest", "n"), n)
     rows = rows.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
-    a_file = max(1, int(file_bytes / max(1, (total or 0) / max(1, n))))
-    members = rows.mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", a_file).text(to)
+    # files of about the bytes asked for: pages far over the average, at most an eighth of all, go to files of fewer pages
+    mean = (total or 0) / max(1, n)
+    cut = max(1, 8 * mean)
+    size = F.octet_length("html")
+    for part, each in ((rows.where(size <= cut), mean), (rows.where(size > cut), most)) if (most or 0) > cut else ((rows, mean),):
+        members = part.mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
+        members.write.mode("append").option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", max(1, int(file_bytes / max(1, each)))).text(to)
 
 
 def _read(gaps: bool):
@@ -238,7 +269,11 @@ def _read(gaps: bool):
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record that can still be read."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record that can still be read.
+
+    A file is read by one task as a whole (``write_archives`` keeps files to some ``FILE_BYTES``); foreign archives need
+    executors with memory for a few times their largest file. Records without a type are of type unknown.
+    """
     prepared(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_read(False), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 

@@ -395,6 +395,44 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_foreign_archives(spark, tmp_path):
+    import base64
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+
+    def make(headers, block):
+        return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    uuid = "<urn:uuid:00000000-0000-0000-0000-000000000001>"
+    kind = ("Content-Type", "application/http; msgtype=response")
+    info = make([("WARC-Type", "warcinfo"), ("WARC-Record-ID", uuid), ("Content-Type", "application/warc-fields")], b"software: x\r\n")
+    good = make([("WARC-Type", "response"), ("WARC-Record-ID", uuid), kind, ("WARC-Payload-Digest", sha1(b"<p>a"))], http + b"<p>a")
+    wrong = make([("WARC-Type", "response"), ("WARC-Record-ID", uuid), kind, ("WARC-Payload-Digest", sha1(b"<p>b"))], http + b"<p>c")
+    packed = make([("WARC-Type", "response"), ("WARC-Record-ID", uuid), kind, ("WARC-Payload-Digest", sha1(b"plain"))], http[:-2] + b"Content-Encoding: br\r\n\r\nxyz")
+    plain = make([("WARC-Record-ID", uuid)], b"no type")
+    visit = make([("WARC-Type", "revisit"), ("WARC-Record-ID", uuid), kind, ("WARC-Payload-Digest", sha1(b"<p>a")), ("WARC-Refers-To", uuid)], http)
+    parts = [info, good, wrong, packed, plain, visit]
+    want = Counter([(None, 13, "warcinfo"), (None, 4, "response"), (None, 3, "response"), (None, 7, "unknown"), (None, None, "revisit")])
+    for i, data in enumerate((b"".join(parts), b"".join(map(gzip.compress, parts)), gzip.compress(b"".join(parts)))):
+        (tmp_path / f"{i}.warc").write_bytes(data)
+        got = Counter((r.page_id, r.payload_bytes, r.record_type) for r in warc.read_archives(spark, f"file://{tmp_path}/{i}.warc").collect())
+        assert got == want
+        assert [r.reason for r in warc.quarantined(spark, f"file://{tmp_path}/{i}.warc").collect()] == ["wrong payload digest"]
+
+
+def test_archive_files_are_bounded(spark, tmp_path):
+    r = random.Random(5)
+    big = ["".join(r.choices("abcdefghijklmnop", k=200_000)) for _ in range(6)]
+    pages = [(i, "u", "".join(r.choices("abcdefghij", k=100))) for i in range(5000)] + [(10_000 + i, "u", x) for i, x in enumerate(big)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/a", 250_000)
+    assert max(p.stat().st_size for p in (tmp_path / "a").glob("part-*")) < 700_000
+    got = {x.page_id: x.payload_digest for x in warc.read_archives(spark, f"file://{tmp_path}/a").collect()}
+    assert got == {i: hashlib.sha256(h.encode()).hexdigest() for i, _, h in pages}
+
+
 # 7
 
 
