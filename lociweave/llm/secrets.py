@@ -140,12 +140,13 @@ def findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[np.ndarray, np.nda
             lambda: some("0123456789ABCDEF", r.choice([32, 40, 64])), lambda: r.choice(["ghp_", "sk-", "xoxb-", "glpat-"]) + some(chars, r.randint(20, 40)),
             lambda: some(chars + "-_", r.randint(24, 48)), lambda: "-".join(some("0123456789ABCDEF", 4) for _ in range(6)),
             lambda: some(chars + "+/", r.randint(100, 900)) + "=" * r.randint(0, 2), lambda: some(chars[:52], r.randint(20, 48)),
+            *[lambda: some("0123456789abcdef", r.choice([32, 40, 64]))] * 2, lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16),
         ])()
         if len(value) < 100 and r.random() < 0.15:  # inside a longer run
             first = path() + r.choice("/=")
             rest = r.choice(["", "/" + path()])
             return r.choice(["http:/", words(2) + " ", ""]), value, r.choice(["", " ", '"', ".", "\n"]) + words(1), first, rest
-        before = r.choice([words(3) + " ", words(2) + " key ", words(2) + " bearer ", "auth: ", "private_key=", words(1) + ' credential "', "KEY=", "pwd is ", ""])
+        before = r.choice([words(3) + " ", words(2) + " key ", words(2) + " bearer ", "auth: ", "private_key=", words(1) + ' credential "', "KEY=", "pwd is ", 'token = "', ""])
         return before, value, r.choice(["", " ", '"', ".", "\n"]) + words(1), "", ""
 
     def plain() -> tuple[str, str, str, str, str]:

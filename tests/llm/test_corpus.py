@@ -104,9 +104,32 @@ def test_candidates_of_any_length_and_make():
         assert seen == set(range(7, 7 + n))
 
 
+def test_secrets_of_odd_rows(spark, odd):
+    long = ("word " * 200_000) + "token=" + "aB3" * 20
+    more = spark.createDataFrame([(20, long, "en", "a", 1), (21, 'api_key = "0123456789abcdefXYZ"', None, None, None)], DOC)
+    got = rows(secrets.secrets(clash(odd.unionAll(more))).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"))
+    assert len(got) == len(ODD) + 2
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(x[1:] == (0, 0, 0, empty, "") for x in got if x[0] in (None, 1, 2, 7))
+    assert [x[1] for x in got if x[0] in (20, 21)] == [1, 1] and f"assign:{5 * 200_000}:{len(long)}" in next(x[5] for x in got if x[0] == 20)
+    assert secrets.secrets(odd.limit(0)).count() == 0
+
+
+def test_network_finds_the_secrets_of_documents(spark):
+    """Recall on the values that the patterns find in documents, which the network scores like any other candidate."""
+    got = secrets.op1_secrets(spark, "/root/testdata/sf0.1").collect()
+    p = [p for r in got for x, p in zip(r.spans.split(","), r.scores) if not x.startswith("learned")]
+    assert len(p) > 100 and np.mean(np.array(p) >= secrets.trained().threshold) > 0.9
+
+
 # 2
 
 
+def test_counts_of_no_rows(spark, odd):
+    assert token_counts.token_counts(clash(odd).limit(0)).count() == 0
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(odd).collect() if r.doc_id in (None, 1, 7)} == {None: (0, 0, False), 1: (0, 0, False), 7: (0, 0, False)}
+
+
 def test_prefix_tables_are_exact(spark, odd):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     count = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
