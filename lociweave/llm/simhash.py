@@ -234,21 +234,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; all columns as they were, whatever their names.
 
-    Of rows that share that doc_id and fingerprint, one stays.
+    Of rows that share that doc_id and fingerprint, one stays. Texts are read for fingerprints once; only rows of a
+    doc_id that has several rows are fingerprinted again to tell them apart.
     """
-    name = f"fp_{uuid.uuid4().hex}"
+    tag = uuid.uuid4().hex
+    name, key, nth = f"fp_{tag}", f"id_{tag}", f"n_{tag}"
     prints = written(with_fingerprint(docs.select("doc_id", "text"), "fp").select("doc_id", "fp"))
     classes, _ = classed(prints)
     keep = written(classes.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("fp").alias("_fp")))
     keep = keep.select("_fp", F.col("component_id").alias("_id"))
-    rows = with_fingerprint(docs, name)
+    several = written(prints.groupBy("doc_id").count().where("count > 1").join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias(key)))
+    is_several = docs["doc_id"].eqNullSafe(several[key])
+    sole = keep.select(F.col("_id").alias(f"s_{tag}")).where(F.col(f"s_{tag}").isNotNull())
+    out = docs.join(several, is_several, "left_anti")
+    out = out.join(sole, out["doc_id"] == F.col(f"s_{tag}"), "left_semi").select(*[out[c] for c in docs.columns])
+    if several.isEmpty():
+        return out
+    rows = with_fingerprint(docs.join(several, is_several, "left_semi"), name)
     rows = rows.join(keep, (rows[name] == keep["_fp"]) & rows["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    twice = prints.join(keep, (prints["fp"] == keep["_fp"]) & prints["doc_id"].eqNullSafe(keep["_id"]), "left_semi").groupBy("fp", "doc_id").count().where("count > 1")
-    if not twice.isEmpty():
-        order = Window.partitionBy(name, "doc_id").orderBy(*[F.col(c) for c in docs.columns])
-        nth = f"n_{uuid.uuid4().hex}"
-        rows = rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
-    return rows.select(*docs.columns)
+    order = Window.partitionBy(name, "doc_id").orderBy(*[F.col(c) for c in docs.columns])
+    rows = rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    return out.unionAll(rows.select(*docs.columns))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
