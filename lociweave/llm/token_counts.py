@@ -9,7 +9,9 @@ has, whether a text keeps to a budget and where to cut it, with no further encod
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -18,11 +20,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepared, table, texts
+from .common import groups_of, prepared, table, texts
 
 LIMIT = 1024
 CACHE = 300_000
 _PIECE = regex.compile(public_tokenizers.PATTERN)
+#: What is never in one piece with a letter.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Contractions of two letters.
 _CUT = {"'re", "'ve", "'ll"}
 
@@ -83,17 +87,30 @@ class PrefixCounter:
         self.fits[first] = ok
         return ok
 
+    def pieces(self, items: Iterable[bytes]) -> Iterator[list[int]]:
+        """Token counts of all prefixes of each piece, in bytes, the empty one first.
+
+        The counts of a prefix depend on nothing after it, so a piece keeps what it shares with the one before it.
+        """
+        rank, compatible, most = self.rank, self.compatible, self.longest
+        before, count, last = b"", [0], [-1]
+        for data in items:
+            k, n = 0, min(len(before), len(data))
+            while k < n and before[k] == data[k]:
+                k += 1
+            del count[k + 1 :], last[k + 1 :]
+            for i in range(k + 1, len(data) + 1):
+                for j in range(i - 1, max(-1, i - most - 1), -1):
+                    t = rank.get(data[j:i])
+                    if t is not None and (j == 0 or compatible(last[j], t)):
+                        count.append(count[j] + 1)
+                        last.append(t)
+                        break
+            before = data
+            yield count
+
     def piece(self, data: bytes) -> list[int]:
-        """Token counts of all prefixes of one piece, in bytes, the empty one first."""
-        n, rank, compatible, most = len(data), self.rank, self.compatible, self.longest
-        count, last = [0] * (n + 1), [-1] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(i - 1, max(-1, i - most - 1), -1):
-                t = rank.get(data[j:i])
-                if t is not None and (j == 0 or compatible(last[j], t)):
-                    count[i], last[i] = count[j] + 1, t
-                    break
-        return count
+        return next(self.pieces([data]))
 
     def chunk(self, text: str) -> list[int]:
         """Counts of the non-empty prefixes, in characters, of a text without special strings."""
@@ -122,6 +139,8 @@ class PrefixCounter:
 
         A special string is one token; while a prefix holds only part of it, that part is plain text.
         """
+        if not text:
+            return np.zeros(0, np.int64)
         if "<|" not in text or self.special is None or not self.special.search(text):
             return self._plain(text)
         out, base, at = [], 0, 0
@@ -133,19 +152,32 @@ class PrefixCounter:
             at = m.end()
         return np.concatenate([*out, base + self._plain(text[at:])])
 
-    def _plain(self, text: str) -> np.ndarray:
+    def many(self, items: list[str]) -> Iterator[np.ndarray]:
+        """Prefix tables of some texts, whose new words are learned together."""
+        split = [None if not x or "<|" in x else self._split(x) for x in items]
+        odd = iter([self.counts(x) for x, chunks in zip(items, split, strict=True) if chunks is None])
+        self._learn({c for x in split if x for c in x})
+        for x, chunks in zip(items, split, strict=True):
+            yield next(odd) if chunks is None else self._sum(x, chunks)
+
+    @staticmethod
+    def _split(text: str) -> list[str] | None:
+        """A text's chunks; None if it has other white space than single blanks and line feeds."""
         words = text.replace("\n", " ").split(" ")
         if words != text.split():  # other white space, or more than one at a place
-            return np.array(self.chunk(text), np.int64)
+            return None
         words = text.replace("\n", " \n ").split(" ")  # a line feed is a piece of its own here
-        chunks = [words[0], *[w if w == "\n" or b == "\n" else f" {w}" for b, w in zip(words, words[1:], strict=False)]]
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        for c in set(chunks).difference(young):
-            t = old.get(c)
-            young[c] = t if t is not None else np.array(self.chunk(c), "<u2").tobytes() if len(c) < 65_536 else b""
-        tables = [young[c] for c in chunks]
+        return [words[0], *[w if w == "\n" or b == "\n" else f" {w}" for b, w in zip(words, words[1:], strict=False)]]
+
+    def _plain(self, text: str) -> np.ndarray:
+        chunks = self._split(text)
+        if chunks is None:
+            return np.array(self.chunk(text), np.int64)
+        self._learn(set(chunks))
+        return self._sum(text, chunks)
+
+    def _sum(self, text: str, chunks: list[str]) -> np.ndarray:
+        tables = [self.young[c] for c in chunks]
         if b"" in tables:  # a chunk that may have more tokens than a table can hold
             return np.array(self.chunk(text), np.int64)
         flat = np.frombuffer(b"".join(tables), "<u2")
@@ -154,6 +186,41 @@ class PrefixCounter:
         last = flat[ends - 1].astype(np.int64)
         return flat + np.repeat(np.cumsum(last) - last, size)
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Tables of chunks: words of letters and the marks after them are a piece each, and are taken in order, so that they share
+        beginnings; others by themselves."""
+        new = chunks.difference(self.young)
+        if len(self.young) > CACHE:  # the tables asked for stay
+            self.young, self.old = {c: self.young[c] for c in chunks.difference(new)}, self.young
+        young, old = self.young, self.old
+        words, marked = set(), []
+        for c in new:
+            t = old.get(c)
+            if t is None:
+                word = c.rstrip(MARKS)
+                if word.lstrip(" ").isalpha() and len(c) < 65_536:
+                    if word not in young:
+                        words.add(word)
+                    if len(word) < len(c):
+                        tail = c[len(word) :]
+                        if tail not in young:
+                            words.add(tail)
+                        marked.append((c, word, tail))
+                    continue
+                t = np.array(self.chunk(c), "<u2").tobytes() if len(c) < 65_536 else b""
+            young[c] = t
+        coded = sorted((w.encode("utf-8", "surrogatepass"), w) for w in words)
+        for (data, w), counts in zip(coded, self.pieces(d for d, _ in coded), strict=True):
+            if len(data) != len(w):  # counts where characters end
+                ends = [i + 1 for i in range(len(data)) if i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80]
+                young[w] = array("H", [counts[i] for i in ends]).tobytes()
+            else:
+                young[w] = array("H", counts[1:]).tobytes()
+        for c, word, tail in marked:  # the marks are a piece of their own
+            t = array("H", young[word])
+            t.extend([t[-1] + n for n in array("H", young[tail])])
+            young[c] = t.tobytes()
+
 
 def within(counts: np.ndarray, budget: int) -> int:
     """Characters of the longest prefix of at most ``budget`` tokens, by its prefix table."""
@@ -174,11 +241,11 @@ def _measure(path: str | None, limit: int):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(path or public_tokenizers.path("byte_bpe_50k.json"))
         for batch in batches:
-            n, fit = [], []
-            for x in texts(batch):
-                counts = known.counts(x) if x else ()
-                n.append(int(counts[-1]) if len(counts) else 0)
-                fit.append(len(x) if n[-1] <= limit else within(counts, limit))
+            n, fit, items = [], [], texts(batch)
+            for lo, hi in groups_of(items, 2 << 20):
+                for x, counts in zip(items[lo:hi], known.many(items[lo:hi]), strict=True):
+                    n.append(int(counts[-1]) if len(counts) else 0)
+                    fit.append(len(x) if n[-1] <= limit else within(counts, limit))
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(fit, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
 

@@ -130,6 +130,18 @@ def test_counts_of_no_rows(spark, odd):
     assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(odd).collect() if r.doc_id in (None, 1, 7)} == {None: (0, 0, False), 1: (0, 0, False), 7: (0, 0, False)}
 
 
+def test_words_learned_together_count_alike():
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(14)
+    part = lambda: "".join(r.choices(["th", "ing", "an", "é", "ß", "Q", "日", "ab", "x"], k=r.randint(1, 6)))
+    items = [" ".join(part() + r.choice(["", "", ",", ".", "$$$", "&&&", ",###", "'s", "2", "_", "<|endoftext|>"]) for _ in range(r.randint(0, 60))) + r.choice(["", "\n", "  x"]) for _ in range(150)]
+    count = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    for x, got in zip(items, count.many(items)):
+        assert len(got) == len(x) and (not x or got[-1] == len(whole.encode(x, add_special_tokens=False).ids)), x
+        for i in r.sample(range(1, len(x) + 1), min(5, len(x))):
+            assert got[i - 1] == len(whole.encode(x[:i], add_special_tokens=False).ids), x[:i]
+
+
 def test_prefix_tables_are_exact(spark, odd):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     count = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
