@@ -192,7 +192,8 @@ def mixed(docs: DataFrame, seed: int = 5) -> DataFrame:
     take = written(plan(sizes, seed).where("base + extra > 0").select(*[F.col(c).alias(n if c != "size" else f"words_{tag}") for c, n in cols.items()]))
     s, d, n, m, base, extra = (F.col(cols[c] if c != "size" else f"words_{tag}") for c in cols)
     rows = with_size(docs, size)
-    rows = rows.join(take, rows["source"].eqNullSafe(s) & rows["doc_id"].eqNullSafe(d) & (rows[size] == n))
+    # always dealt by source, doc_id and size: what is taken grows with the input
+    rows = rows.join(take.hint("merge"), rows["source"].eqNullSafe(s) & rows["doc_id"].eqNullSafe(d) & (rows[size] == n))
     kept = [F.col(f"`{c}`") for c in docs.columns]
     out = rows.where(m == 1).select(*kept, (base + extra).alias(copies))
     if not take.where(m > 1).isEmpty():

@@ -247,7 +247,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     is_several = docs["doc_id"].eqNullSafe(several[key])
     sole = keep.select(F.col("_id").alias(f"s_{tag}")).where(F.col(f"s_{tag}").isNotNull())
     out = docs.join(several, is_several, "left_anti")
-    out = out.join(sole, out["doc_id"] == F.col(f"s_{tag}"), "left_semi").select(*[out[c] for c in docs.columns])
+    # always dealt by doc_id: what stays grows with the input, and a plan that broadcasts it would only hold for small ones
+    out = out.join(sole.hint("merge"), out["doc_id"] == F.col(f"s_{tag}"), "left_semi").select(*[out[c] for c in docs.columns])
     if several.isEmpty():
         return out
     rows = with_fingerprint(docs.join(several, is_several, "left_semi"), name)
