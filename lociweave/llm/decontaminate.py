@@ -25,6 +25,8 @@ from .common import prepared, groups_of, table, texts, written
 WINDOW = 10
 #: Characters of benchmark text in one broadcast block; an item is never cut.
 BLOCK_CHARS = 8 << 20
+#: Characters of training text in one shard; a longer text is one by itself.
+SHARD_CHARS = 1 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -313,7 +315,7 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Blo
 def _found(items: list[str], block: Block) -> list[dict]:
     """``hits`` of some texts."""
     out = []
-    for lo, hi in groups_of(items):
+    for lo, hi in groups_of(items, SHARD_CHARS):
         m = shard_matches(items[lo:hi], block)
         rows = [{"n_words": int(n), "spans": [], "items": set(), "longest": []} for n in m.n_words.tolist()]
         for d, s, e in m.spans:
@@ -419,7 +421,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
 def _hit(items: list[str], block: Block) -> np.ndarray:
     """Which texts hold a window."""
     out = np.zeros(len(items), bool)
-    for lo, hi in groups_of(items):
+    for lo, hi in groups_of(items, SHARD_CHARS):
         out[[lo + d for d, *_ in shard_matches(items[lo:hi], block, False).spans]] = True
     return out
 
