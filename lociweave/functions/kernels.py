@@ -57,14 +57,15 @@ def infix_identity(a: str, b: str, dna: bool = False) -> float:
     return 1 - min(found) / len(short) if found else 0.0
 
 
-def infix_align(query: str, target: str, wild: str = "E") -> tuple[int, list[tuple[int, int]]]:
-    """Least edits, and (start, end) of each stretch of the target that attains them; ``wild`` in the target matches any base."""
+def infix_align(query: str, target: str, wild: str = "EN") -> tuple[int, list[tuple[int, int]]]:
+    """Least edits, and (start, end) of each stretch of the target that attains them; ``wild`` letters match any base, an N of the query too."""
     q, t = np.frombuffer(query.encode(), np.uint8), np.frombuffer(target.encode(), np.uint8)
     n = len(t)
     at = np.arange(n + 1)
     row, begin = np.zeros(n + 1, np.int64), at.copy()
+    free = np.isin(t, np.frombuffer(wild.encode(), np.uint8))
     for c in q:
-        cost = np.where((t == c) | (t == ord(wild)), 0, 1)
+        cost = np.where((t == c) | free | (c == ord("N")), 0, 1)
         diag, down = row[:-1] + cost, row[1:] + 1
         step = np.concatenate([[row[0] + 1], np.minimum(diag, down)])
         from_ = np.concatenate([[begin[0]], np.where(diag <= down, begin[:-1], begin[1:])])
@@ -79,37 +80,36 @@ def infix_align(query: str, target: str, wild: str = "E") -> tuple[int, list[tup
 def search_dna(window: str, query: str, prop_match: float, identity: float) -> tuple[str, tuple[int, int], int] | None:
     """Best hit of a gene in a window on either strand: (sequence on the gene's strand, (start, end) in the window, strand).
 
-    The window is padded so that a gene may hang over its ends. Of equally good places the one of the least signed
-    distance of its ends from the centre counts; a stretch beyond a run of 20 N on the farther side is masked.
+    The window is padded so that a gene may hang over its ends; an N matches any base. Of equally good places the one of
+    the least signed distance of its ends from the centre counts. Where the window has a run of 20 N, the hit is also
+    tried without what stands before the first and without what stands after the last, and the best of the three counts.
     """
     pad = len(query) // 2
-    padded = "E" * pad + window.upper() + "E" * pad
+    whole = "E" * pad + window.upper() + "E" * pad
+    query = query.upper()
     best = None
-    for strand, q in ((1, query.upper()), (-1, reverse_complement(query.upper()))):
-        edits, places = infix_align(q, padded)
-        centre = len(padded) / 2
+    for strand, text in ((1, whole), (-1, reverse_complement(whole))):
+        edits, places = infix_align(query, text)
+        centre = len(text) / 2
         start, end = min(places, key=lambda p: (min(centre - p[0], centre - p[1]), p))
-        stretch = list(padded[start:end])
-        runs = [m.span() for m in re.finditer("N{20,}", "".join(stretch))]
-        for s, e in runs:
-            if s < len(stretch) - e:
-                stretch[:s] = "X" * s
-            else:
-                stretch[e:] = "X" * (len(stretch) - e)
-        kept = [c for c in stretch if c not in "EX"]
-        if not stretch or len(kept) / len(q) <= prop_match:
-            continue
-        same = 1 - edits / max(1, len(kept))
-        if same <= identity:
-            continue
-        score = same * len(kept)
-        if best is None or score > best[0]:
-            seq = "".join("N" if c in "EX" else c for c in stretch).strip("N")
-            low, high = max(0, start - pad), min(len(window), end - pad)
-            best = (score, seq if strand > 0 else reverse_complement(seq), (low, high), strand)
+        for form in dict.fromkeys((text, _FIRST.sub(lambda m: "X" * len(m[0]), text, 1), _LAST.sub(lambda m: "X" * len(m[0]), text, 1))):
+            stretch = form[start:end]
+            masked = stretch.count("X")
+            n = len(stretch) - masked - stretch.count("E")
+            if not n or n / len(query) <= prop_match or sum(stretch.count(c) for c in "ACGT") / len(query) <= prop_match:
+                continue
+            same = 1 - (edits - masked) / n
+            if same <= identity or best is not None and same * n <= best[0]:
+                continue
+            low, high = (start, end) if strand > 0 else (len(text) - end, len(text) - start)
+            best = (same * n, re.sub("[XE]", "N", stretch).strip("N"), (max(0, low - pad), min(len(window), high - pad)), strand)
     return best[1:] if best else None
 
 
+# what a run of 20 N cuts off
+_FIRST, _LAST = re.compile("^[ACGTEX]*N{20}"), re.compile("N{20}[ACGTEX]*$")
+
+
 def global_align(a: str, b: str, gap: int = 2, mismatch: int = 1) -> tuple[str, str]:
     """Least-cost global alignment; of equal ways a diagonal step first, then a gap in b."""
     n, m = len(a), len(b)

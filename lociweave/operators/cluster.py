@@ -93,14 +93,14 @@ def similar(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int
     return p.mapInPandas(verify, f"a {t}, b {t}, identity double")
 
 
-def greedy(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int | None = 5, dna: bool = False, rounds: int = 1000) -> DataFrame:
+def greedy(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int | None = 5, dna: bool = False) -> DataFrame:
     """(id, representative): each sequence, longest first, joins the most similar representative or becomes one.
 
     Rounds settle a sequence once all earlier similar ones are settled: it is a representative if none of them is.
     """
     pairs = written(similar(rows, identity, length_ratio, k, dna))
     open_, reps = written(rows.select("id")), None
-    for _ in range(rounds):
+    while True:  # each round settles the longest open sequence at least
         blocked = pairs.join(open_.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         new = written(open_.join(blocked, "id", "left_anti"))  # nothing before them is open, and no representative covers them
         if new.isEmpty():

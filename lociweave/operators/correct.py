@@ -83,7 +83,7 @@ def _assign(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["cluster", "genome", "node", "bucket"])
 
 
-def collapse_families(members: DataFrame, em: DataFrame, similar: DataFrame, depths: tuple[int, ...] = (1, 2, 3), rounds: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+def collapse_families(members: DataFrame, em: DataFrame, similar: DataFrame, depths: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Contracts similar clusters, (a, b), that are near each other in the graph and share no genome.
 
     Near: within ``depth`` hops of one node of three or more edges. In each round every cluster names its best
@@ -94,7 +94,7 @@ def collapse_families(members: DataFrame, em: DataFrame, similar: DataFrame, dep
     sim = written(similar.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     names = members.select(F.col("cluster").alias("old"), F.col("cluster").alias("new")).distinct()
     for depth in depths:
-        for _ in range(rounds):
+        while True:  # each round contracts at least one pair
             e = em.select("a", "b").distinct()
             centres = graph.both_ways(e).groupBy("node").count().where("count > 2").select("node")
             # pairs that share a genome never can merge, as genomes only come to a cluster
@@ -129,21 +129,23 @@ def one_edit_apart(words: DataFrame, least: int = 1) -> DataFrame:
     return p.where(F.levenshtein("a", "b") <= 1)
 
 
-def find_missing(members: DataFrame, em: DataFrame, located: DataFrame, contigs: DataFrame, radius: int = 5000, prop_match: float = 0.2, identity: float = 0.95) -> DataFrame:
-    """(cluster, genome, contig, start, end, strand, dna): genes found where neighbours are but annotation has none.
+def find_missing(members: DataFrame, em: DataFrame, located: DataFrame, contigs: DataFrame, radius: int = 5000, prop_match: float = 0.2, identity: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """Genes found where neighbours are but annotation has none, and annotated genes that larger clusters' genes cover.
 
     located: (cluster, genome, contig, start, end, strand, dna), 1-based closed; contigs: (genome, contig, seq).
-    A cluster is looked for around its neighbours' places in each genome that lacks it; the longest hit counts. Of
-    hits that overlap by half or more, that of the cluster with more genomes stays.
+    A cluster is looked for around its neighbours' places in each genome that lacks it; the longest hit counts. On each
+    contig, clusters of more genomes come first (of equals, the greater name), and a gene of which half or more of the
+    cluster's longest one is taken by then loses its place. Returns (cluster, genome, contig, start, end, strand, dna) of the
+    found and (cluster, genome) of the annotated ones that lost it.
     """
     prepared(members.sparkSession)
     want = graph.missing_with_neighbour(members, em, 1)
-    long = located.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.length("dna")), "genome", "start"))).where("r = 1").select("cluster", F.col("dna").alias("query"))
+    long = located.groupBy("cluster").agg(F.max_by("dna", F.struct(F.length("dna"), "dna")).alias("query"))
     sym = graph.both_ways(em.select("a", "b").distinct()).withColumnRenamed("node", "cluster")
     near = located.select(F.col("cluster").alias("neighbour"), "genome", "contig", "start", "end")
-    rows = want.join(sym, "cluster").join(near, ["neighbour", "genome"]).join(long, "cluster").join(contigs, ["genome", "contig"])
+    rows = want.join(sym, "cluster").join(near, ["neighbour", "genome"]).join(long, "cluster").join(contigs.select("genome", "contig", "seq"), ["genome", "contig"])
     low = F.greatest(F.col("start") - radius, F.lit(1))
-    rows = rows.select("cluster", "genome", "contig", "query", low.cast("bigint").alias("low"), F.substring("seq", low, F.col("end") + radius - low + 1).alias("window"))
+    rows = rows.select("cluster", "genome", "contig", "query", low.cast("bigint").alias("low"), F.substring("seq", low, F.col("end") + radius - low + 1).alias("window")).distinct()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -159,19 +161,35 @@ def find_missing(members: DataFrame, em: DataFrame, located: DataFrame, contigs:
     c = contigs.schema["contig"].dataType.simpleString()
     shape = f"cluster string, genome {t}, contig {c}, start bigint, end bigint, strand int, dna string"
     hits = rows.mapInPandas(search, shape)
-    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("cluster", "genome").orderBy(F.desc(F.length("dna")), "contig", "start"))).where("r = 1").drop("r")
+    best = written(hits.withColumn("r", F.row_number().over(Window.partitionBy("cluster", "genome").orderBy(F.desc(F.length("dna")), "contig", "start"))).where("r = 1").drop("r").withColumn("found", F.lit(True)))
+    there = located.select("cluster", "genome", "contig", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.lit(0).alias("strand"), F.lit("").alias("dna"), F.lit(False).alias("found"))
+    size = matrix.support(members).join(long.select("cluster", F.length("query").alias("longest")), "cluster")
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        """Places of one contig, by clusters; the intervals kept are few and disjoint or nearly so."""
         kept: list[tuple[int, int]] = []
-        out = []
-        for r in rows.sort_values(["support", "cluster"], ascending=[False, True]).itertuples(index=False):
-            covered = sum(max(0, min(e, r.end) - max(s, r.start) + 1) for s, e in kept)
-            if covered < 0.5 * (r.end - r.start + 1):
+        fine = []
+        for r in rows.sort_values(["support", "cluster", "found"], ascending=[False, False, True]).itertuples():
+            covered = sum(max(0, min(e, r.end) - max(s, r.start) + 1) for s, e in _union(kept, r.start, r.end))
+            if covered < 0.5 * r.longest:
                 kept.append((r.start, r.end))
-                out.append(r)
-        return pd.DataFrame(out, columns=rows.columns).drop(columns="support")
+                fine.append(r.Index)
+        return rows.assign(ok=rows.index.isin(fine)).drop(columns=["support", "longest"])
 
-    return best.join(matrix.support(members), "cluster").groupBy("genome", "contig").applyInPandas(settle, shape)
+    every = best.unionByName(there).join(size, "cluster")
+    settled = written(every.groupBy("genome", "contig").applyInPandas(settle, shape + ", found boolean, ok boolean"))
+    return settled.where("found and ok").drop("found", "ok"), settled.where("not found and not ok").select("cluster", "genome").join(settled.where("not found and ok").select("cluster", "genome"), ["cluster", "genome"], "left_anti").distinct()
+
+
+def _union(spans: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """Disjoint spans that cover what some spans cover of an interval."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for s, e in spans if e >= low and s <= high):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
 
 
 def drop_by_consensus(members: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Member sets are long relations, (cluster, genome) and (a, b, genome) with a < b;
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .matrix import presence
@@ -41,14 +43,14 @@ def contig_ends(genes: DataFrame) -> DataFrame:
     return e.groupBy("cluster").agg(F.count("*").alias("ends"))
 
 
-def trim(members: DataFrame, e: DataFrame, least: int, rounds: int, write=None) -> tuple[DataFrame, DataFrame]:
+def trim(members: DataFrame, e: DataFrame, least: int, rounds: int | None, write=None) -> tuple[DataFrame, DataFrame]:
     """Drops nodes of at most one edge that fewer than ``least`` genomes support, all of a round at once.
 
-    Stops when none is left or after the rounds. members: (cluster, support); e: (a, b). ``write`` cuts the lineage
+    Stops when none is left or after the rounds (None: no limit, which needs ``write``). members: (cluster, support); e: (a, b). ``write`` cuts the lineage
     between rounds; None suits a few rounds.
     """
     nodes, e = members, e.select("a", "b")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         weak = degree(nodes, e).where("degree <= 1").join(nodes.where(F.col("support") < least), "cluster").select("cluster")
         if write:
             weak = write(weak)
@@ -144,7 +146,10 @@ def within(e: DataFrame, start: DataFrame, depth: int, write=None) -> DataFrame:
 
 
 def components(e: DataFrame, nodes: DataFrame, write, rounds: int = 60) -> DataFrame:
-    """(cluster, component): the least node of each connected component, by large-star and small-star rounds."""
+    """(cluster, component): the least node of each connected component, by large-star and small-star rounds.
+
+    Some ten rounds settle any graph seen; one that isn't settled after all rounds fails.
+    """
     cur = write(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
     for _ in range(rounds):
@@ -158,9 +163,27 @@ def components(e: DataFrame, nodes: DataFrame, write, rounds: int = 60) -> DataF
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         cur = write(small.where("u <> v").distinct())
+    else:
+        raise RuntimeError("components did not settle")
     return nodes.join(cur.select(F.col("u").alias("cluster"), F.col("v").alias("root")), "cluster", "left").select("cluster", F.coalesce("root", "cluster").alias("component"))
 
 
+def ordered_components(component: DataFrame, support: DataFrame) -> DataFrame:
+    """(cluster, fragment, place) of (cluster, component): components numbered by size, the largest first (of equals, the
+    least name), and places of clusters in each by support, the largest first."""
+    size = component.groupBy("component").agg(F.count("*").alias("n"))
+    number = size.withColumn("fragment", F.row_number().over(Window.orderBy(F.desc("n"), "component"))).select("component", "fragment")  # a thin row per component
+    place = F.row_number().over(Window.partitionBy("fragment").orderBy(F.desc("support"), "cluster"))
+    return component.join(number, "component").join(support, "cluster").select("cluster", "fragment", place.alias("place"))
+
+
+def repeated_edges(genes: DataFrame, more_than: int = 3) -> DataFrame:
+    """(a, b, genome, times): pairs of clusters that are next to each other more than so many times in one genome."""
+    before = F.lag("cluster").over(Window.partitionBy("genome", "contig").orderBy("ix"))
+    e = genes.withColumn("p", before).where(F.col("p").isNotNull() & (F.col("p") != F.col("cluster")))
+    return e.groupBy(F.least("p", "cluster").alias("a"), F.greatest("p", "cluster").alias("b"), "genome").agg(F.count("*").alias("times")).where(F.col("times") > more_than)
+
+
 def merge_graphs(graphs: list[DataFrame]) -> DataFrame:
     """Nodes of several (cluster, genome) relations joined by shared cluster: (cluster, graphs, genomes, paralog).
 

@@ -199,7 +199,7 @@ def trim_two_rounds(spark, sf):
 @_query()
 def trim_to_fixpoint(spark, sf):
     g = V.token_genes(spark, sf)
-    return graph.trim(written(matrix.support(matrix.presence(g))), written(graph.edges(graph.edge_members(g))), 3, 1000, written)[0]
+    return graph.trim(written(matrix.support(matrix.presence(g))), written(graph.edges(graph.edge_members(g))), 3, None, written)[0]
 
 
 @_query(f"""{TEXT_GRAPH}, en as (select distinct cluster from (select cluster, lag(ix) over w as p, lead(ix) over w as n from genes window w as (partition by genome, contig order by ix)) where p is null or n is null),

@@ -47,20 +47,45 @@ def parse_gff(text: str) -> tuple[list[tuple], list[tuple[str, str]]]:
     return features, [(a.removeprefix("accn|"), s) for a, s in parse_fasta(parts[1])]
 
 
-def gff(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    """Features and contigs of annotation files with sequences at the end."""
-    prepared(spark)
+def _parsed(files: DataFrame, parse) -> tuple[DataFrame, DataFrame]:
+    """Features and contigs of (path, text), by a parser of one text."""
+    prepared(files.sparkSession)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(p, *f) for p, t in zip(b["path"], b["text"], strict=True) for f in parse_gff(t)[0]], columns=["path", "seqid", "type", "start", "end", "strand", "frame", "attributes", "ord"])
+            yield pd.DataFrame([(p, *f) for p, t in zip(b["path"], b["text"], strict=True) for f in parse(t)[0]], columns=["path", "seqid", "type", "start", "end", "strand", "frame", "attributes", "ord"])
 
     def contigs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(p, c, i, s) for p, t in zip(b["path"], b["text"], strict=True) for i, (c, s) in enumerate(parse_gff(t)[1])], columns=["path", "contig", "ord", "seq"])
+            yield pd.DataFrame([(p, c, i, s) for p, t in zip(b["path"], b["text"], strict=True) for i, (c, s) in enumerate(parse(t)[1])], columns=["path", "contig", "ord", "seq"])
 
-    w = whole(spark, paths)
-    return w.mapInPandas(features, FEATURES), w.mapInPandas(contigs, CONTIGS)
+    return files.mapInPandas(features, FEATURES), files.mapInPandas(contigs, CONTIGS)
+
+
+def gff(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+    """Features and contigs of annotation files with sequences at the end."""
+    return _parsed(whole(spark, paths), parse_gff)
+
+
+def genbank(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+    """Features and contigs of GenBank files."""
+    return _parsed(whole(spark, paths), parse_genbank)
+
+
+def gff_with_fasta(spark: SparkSession, pairs: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Features and contigs of annotations whose sequences are in files of their own: (annotation, sequences) paths."""
+    for a, b in pairs:
+        if not a.endswith((".gff", ".gff3")) or not b.endswith((".fasta", ".fa", ".fna", ".fas")):
+            raise ValueError(f"not an annotation and its sequences: {a} {b}")
+    name = lambda p: p.rstrip("/").rsplit("/", 1)[-1]
+    if len({name(a) for a, _ in pairs}) < len(pairs) or len({name(b) for _, b in pairs}) < len(pairs):
+        raise ValueError("files of one name")
+    of = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "a string, b string")  # a row per genome
+    last = F.regexp_extract("path", "([^/]+)$", 1)
+    notes = whole(spark, [a for a, _ in pairs]).withColumn("a", last)
+    seqs = whole(spark, [b for _, b in pairs]).select(last.alias("b"), F.col("text").alias("seqs"))
+    files = notes.join(of, "a").join(seqs, "b").select("path", F.concat(F.regexp_replace("text", "(?s)##FASTA.*", ""), F.lit("\n##FASTA\n"), "seqs").alias("text"))
+    return _parsed(files, parse_gff)
 
 
 def gene_calls(features: DataFrame, contigs: DataFrame, genomes: DataFrame, strict: bool = False, table: int = 11) -> DataFrame:
@@ -216,13 +241,13 @@ def gml(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame, DataFrame]:
     return shift(m), shift(e), w.mapInPandas(attributes, "graph string, cluster string, attributes map<string,string>")
 
 
-def input_list(lines: list[str]) -> list[tuple[str, str | None]]:
-    """(annotation, sequences) paths: one or two to a line."""
+def input_list(lines: list[str]) -> list[str | tuple[str, str]]:
+    """Inputs of a run: a path, or an annotation and its sequences, to a line."""
     out = []
     for x in lines:
         p = x.split()
         if len(p) > 2:
             raise ValueError(f"too many paths in a line: {x}")
         if p:
-            out.append((p[0], p[1] if len(p) == 2 else None))
+            out.append((p[0], p[1]) if len(p) == 2 else p[0])
     return out

@@ -48,6 +48,19 @@ def test_search_forward_reverse_and_over_the_end():
     assert K.search_dna(WINDOW, "".join(R.choices("ACGT", k=40)), 0.5, 0.99) is None
 
 
+def test_search_with_unknown_bases():
+    r = random.Random(3)
+    db = "".join(r.choices("ACGT", k=300))
+    q = db[100:160]
+    few = db[:120] + "N" * 6 + db[126:]
+    assert K.search_dna(few, q, 0.5, 0.95) == (few[100:160], (100, 160), 1)
+    assert K.search_dna(K.reverse_complement(few), q, 0.5, 0.95) == (few[100:160], (140, 200), -1)
+    many = db[:130] + "N" * 25 + "".join(r.choices("ACGT", k=40))  # the end is unlike the gene
+    hit = K.search_dna(many, q, 0.2, 0.9)
+    assert hit and hit[0].startswith(db[100:130]) and hit[2] == 1
+    assert K.search_dna(db[:105] + "N" * 50 + db[155:], q, 0.5, 0.9) is None  # too little of it is known
+
+
 def test_alignments():
     a, b = K.global_align("ACGTT", "AGTT")
     assert a.replace("-", "") == "ACGTT" and b.replace("-", "") == "AGTT" and len(a) == len(b) == 5
@@ -113,4 +126,4 @@ def test_parsers():
     gb = "LOCUS       c1 12 bp\nFEATURES             Location/Qualifiers\n     CDS             complement(1..9)\n                     /locus_tag=\"t1\"\n                     /product=\"some thing\"\nORIGIN\n        1 acgtacgtac gt\n//\n"
     f, c = readers.parse_genbank(gb)
     assert f[0][:6] == ("c1", "CDS", 1, 9, "-", "0") and f[0][6]["product"] == "some thing" and c == [("c1", "ACGTACGTACGT")]
-    assert readers.input_list(["a.gff", "b.gff b.fa", ""]) == [("a.gff", None), ("b.gff", "b.fa")]
+    assert readers.input_list(["a.gff", "b.gff b.fa", ""]) == ["a.gff", ("b.gff", "b.fa")]

@@ -116,8 +116,14 @@ def test_find_missing_finds_a_dropped_gene(spark):
     where = {g: contig.index(seq[g]) + 1 for g in "abc"}
     located = spark.createDataFrame([(g, n, 0, where[g], where[g] + 59, 1, seq[g]) for n in (0, 1) for g in "abc" if (n, g) != (1, "b")], "cluster string, genome int, contig int, start bigint, end bigint, strand int, dna string")
     calls = genes(spark, [(0, "abc"), (1, "ac")])
-    found = rows(correct.find_missing(matrix.presence(calls), graph.edge_members(calls), located, spark.createDataFrame([(n, 0, contig) for n in (0, 1)], "genome int, contig int, seq string")))
-    assert found == [("b", 1, 0, where["b"], where["b"] + 59, 1, seq["b"])]
+    contigs = spark.createDataFrame([(n, 0, contig) for n in (0, 1)], "genome int, contig int, seq string")
+    found, lost = correct.find_missing(matrix.presence(calls), graph.edge_members(calls), located, contigs)
+    assert rows(found) == [("b", 1, 0, where["b"], where["b"] + 59, 1, seq["b"])] and rows(lost) == []
+    # a cluster of one genome whose gene lies on that of a larger cluster loses it
+    over = located.unionAll(spark.createDataFrame([("z", 1, 0, where["a"] + 5, where["a"] + 50, 1, contig[where["a"] + 4 : where["a"] + 50])], located.schema))
+    calls = genes(spark, [(0, "abc"), (1, "azc")])
+    found, lost = correct.find_missing(matrix.presence(calls), graph.edge_members(calls), over, contigs)
+    assert [x[:2] for x in rows(found)] == [("b", 1)] and rows(lost) == [("z", 1)]
 
 
 def test_neighbourhood_and_regions(spark):
@@ -221,6 +227,25 @@ def test_run_on_identical_genomes(spark, tmp_path):
     assert spark.sql("select count(*) from pangenome_members").first()[0] == 12
 
 
+def test_run_finds_what_annotation_missed(spark, tmp_path):
+    r = random.Random(9)
+    safe = [a + b + c for a in "ACG" for b in "ACG" for c in "ACG"]
+    parts = [("ATG" + "".join(r.choices(safe, k=30)) + "TAA", f"g{i}") for i in range(5)]
+    for g in ("one", "two", "three"):
+        annotation(tmp_path, "c1", g, parts)
+    text = (tmp_path / "two.gff").read_text()
+    (tmp_path / "two.gff").write_text("".join(x for x in text.splitlines(True) if "gene=g2" not in x))
+    notes, _, seqs = (tmp_path / "three.gff").read_text().partition("##FASTA\n")
+    (tmp_path / "three.gff").write_text(notes)
+    (tmp_path / "three.fna").write_text(seqs)
+    paths = [str(tmp_path / "one.gff"), str(tmp_path / "two.gff"), (str(tmp_path / "three.gff"), str(tmp_path / "three.fna"))]
+    left = pangenome.run(spark, paths, "moderate", refind=False)
+    assert left.members.count() == 14
+    run = pangenome.run(spark, paths, "moderate")
+    assert run.summary.first().core == 5 and run.members.count() == 15 and run.genes.where("ix is null").count() == 1
+    assert run.genes.where("ix is null").first().dna == parts[2][0]
+
+
 def test_sinks_round_trip(spark, tmp_path):
     g = genes(spark, [(0, "ab"), (1, "ac")])
     m, em = matrix.presence(g), graph.edge_members(g)
