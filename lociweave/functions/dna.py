@@ -7,9 +7,24 @@ from pyspark.sql import functions as F
 # Genetic codes by number, amino acids in the order of bases T, C, A, G, and their start codons.
 CODES = {
     1: ("FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("TTG", "CTG", "ATG")),
+    2: ("FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSS**VVVVAAAADDEEGGGG", ("ATT", "ATC", "ATA", "ATG", "GTG")),
+    3: ("FFLLSSSSYY**CCWWTTTTPPPPHHQQRRRRIIMMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("ATA", "ATG", "GTG")),
     4: ("FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("TTA", "TTG", "CTG", "ATT", "ATC", "ATA", "ATG", "GTG")),
+    5: ("FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSSSVVVVAAAADDEEGGGG", ("TTG", "ATT", "ATC", "ATA", "ATG", "GTG")),
+    6: ("FFLLSSSSYYQQCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("ATG",)),
+    9: ("FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG", ("ATG", "GTG")),
+    10: ("FFLLSSSSYY**CCCWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("ATG",)),
     11: ("FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("TTG", "CTG", "ATT", "ATC", "ATA", "ATG", "GTG")),
+    12: ("FFLLSSSSYY**CC*WLLLSPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("CTG", "ATG")),
+    13: ("FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSGGVVVVAAAADDEEGGGG", ("TTG", "ATA", "ATG", "GTG")),
+    14: ("FFLLSSSSYYY*CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG", ("ATG",)),
+    16: ("FFLLSSSSYY*LCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("ATG",)),
+    21: ("FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNNKSSSSVVVVAAAADDEEGGGG", ("ATG", "GTG")),
+    22: ("FFLLSS*SYY*LCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("ATG",)),
+    23: ("FF*LSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("ATT", "ATG", "GTG")),
+    24: ("FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSSKVVVVAAAADDEEGGGG", ("TTG", "CTG", "ATG", "GTG")),
     25: ("FFLLSSSSYY**CCGWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("TTG", "ATG", "GTG")),
+    26: ("FFLLSSSSYY**CC*WLLLAPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("CTG", "ATG")),
 }
 BASES = "TCAG"
 IUPAC = ("ACGTRYKMBVDHSWN", "TGCAYRMKVBHDSWN")
@@ -47,6 +62,23 @@ def translate_dna(s, number: int = 11, start: bool = True) -> F.Column:
     return F.when(F.substring(s, 1, 3).isin(*code(number)[1]), F.concat(F.lit("M"), F.substring(protein, 2, 1 << 30))).otherwise(protein)
 
 
+def checked_protein(protein) -> F.Column:
+    """A protein without one stop at its end; another stop in it fails the job."""
+    p = trim_stop(protein)
+    return F.when(F.instr(p, "*") > 0, F.raise_error(F.concat(F.lit("a stop within "), p)).cast("string")).otherwise(p)
+
+
+def marked_id(sid, length_outlier, stop) -> F.Column:
+    """An id with the marks that presence tables give genes of odd length and with stops."""
+    return F.concat(sid, F.when(length_outlier, "_len").otherwise(""), F.when(stop, "_pseudo").otherwise(""))
+
+
+def rejected_for_codons(protein, dna, number: int = 11) -> F.Column:
+    """Whether a gene can't be aligned by codons: it isn't translated to the protein, or has unknown bases in a row or codons of more than one meaning."""
+    p = trim_stop(translate_dna(dna, number))
+    return (p != trim_stop(protein)) | F.upper(dna).contains("NN") | F.contains(p, F.lit("X"))
+
+
 def trim_stop(protein) -> F.Column:
     """Without one stop at the end."""
     return F.regexp_replace(protein, r"\*$", "")

@@ -161,3 +161,13 @@ def coarsen(rows: DataFrame, identities: tuple[float, ...], length_ratio: float
         out = written(out.join(step, F.col("representative") == F.col("_old")).select("id", F.col("_new").alias("representative")))
         left = written(left.join(step.where("_old = _new").select(F.col("_old").alias("id")), "id", "left_semi"))
     return out
+
+
+def hit_prevalence(hits: DataFrame) -> DataFrame:
+    """(ref, genomes, shared): in how many genomes a reference is a hit, and what they share with it."""
+    return hits.groupBy("ref").agg(F.count("*").alias("genomes"), F.sum("shared").alias("shared"))
+
+
+def outgroup(hits: DataFrame) -> DataFrame:
+    """The genome of the fewest hits of (genome, hits), the least of equals: one row."""
+    return hits.groupBy("genome").agg(F.sum("hits").alias("hits")).orderBy("hits", "genome").limit(1)

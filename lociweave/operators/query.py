@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.dna import reverse_complement
 from . import graph
 
 
@@ -73,6 +74,20 @@ def extract_sequences(cells: DataFrame, genes: DataFrame, clusters: list[str], d
     return genes.join(ids, ["genome", "annotation_id"], "left_semi").select(name.alias("id"), F.col("dna" if dna else "protein").alias("seq"))
 
 
+def region_sequences(spans: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(genome, contig, seq) of ``regions``: each stretch on the strand of its first gene."""
+    d = spans.join(contigs, ["genome", "contig"])
+    seq = F.substring("seq", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))
+    return d.select("genome", "contig", F.when(F.col("strand") < 0, reverse_complement(seq)).otherwise(seq).alias("seq"))
+
+
+def merged_genes(genes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of a gene table whose ``clustering_id`` is asked for, once each: the first by annotation of equals."""
+    w = Window.partitionBy("clustering_id").orderBy("annotation_id")
+    kept = genes.join(ids.select("clustering_id"), "clustering_id", "left_semi")
+    return kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
 def minimum_cut(pairs: list[tuple[str, str, int]], source: str, sink: str) -> list[tuple[str, str]]:
     """Edges of a least cut between two nodes by shortest augmenting paths; for the induced subgraph of one query."""
     cap: dict[str, dict[str, int]] = {}

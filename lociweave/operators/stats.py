@@ -108,3 +108,23 @@ def accumulation(members: DataFrame, boots: int = 5, seed: str = "7") -> DataFra
     per = members.join(drawn, "genome").select("n_genomes", "boot", "cluster").distinct().groupBy("n_genomes", "boot").agg(F.count("*").alias("c"))
     q = F.expr("percentile(c, array(0.025, 0.975))")
     return per.groupBy("n_genomes").agg(F.round(q[0], 4).alias("low"), F.round(F.avg("c"), 4).alias("mean"), F.round(q[1], 4).alias("high"))
+
+
+def permuted_curves(members: DataFrame, reps: int = 10) -> DataFrame:
+    """(rep, n_genomes, pan, core): clusters in any and in all of the first genomes, under orders by digests of rep and genome.
+
+    A cluster counts for pan from its first genome's place on, and for core up to the place before its first absence.
+    """
+    genomes = members.select("genome").distinct()
+    reps_ = genomes.sparkSession.range(1, reps + 1).select(F.col("id").alias("rep"))
+    order = genomes.join(reps_).withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.md5(F.concat_ws("-", F.col("rep").cast("string"), F.col("genome").cast("string"))), "genome")))
+    at = members.join(order, "genome")
+    # present at the first places without a gap: place equals its rank among the cluster's places
+    ranked = at.withColumn("nth", F.row_number().over(Window.partitionBy("rep", "cluster").orderBy("place")))
+    per = ranked.groupBy("rep", "cluster").agg(F.min("place").alias("first"), F.sum((F.col("nth") == F.col("place")).cast("int")).alias("upto"))
+    pan = per.groupBy("rep", F.col("first").alias("place")).agg(F.count("*").alias("new"))
+    core = per.where("upto > 0").groupBy("rep", F.col("upto").alias("place")).agg(F.count("*").alias("lost"))
+    grid = order.select("rep", "place").join(pan, ["rep", "place"], "left").join(core, ["rep", "place"], "left")
+    w = Window.partitionBy("rep").orderBy("place")
+    back = Window.partitionBy("rep").orderBy(F.desc("place"))
+    return grid.select("rep", F.col("place").alias("n_genomes"), F.coalesce(F.sum("new").over(w), F.lit(0)).alias("pan"), F.coalesce(F.sum("lost").over(back), F.lit(0)).alias("core"))

