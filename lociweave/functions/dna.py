@@ -42,8 +42,10 @@ def code(number: int) -> tuple[dict[str, str], tuple[str, ...]]:
     return codons, starts
 
 
-def codon_map(number: int = 11) -> F.Column:
-    return F.create_map(*[F.lit(x) for kv in sorted(code(number)[0].items()) for x in kv])
+def codon_line(number: int = 11) -> str:
+    """Amino acids of all codons of T, C, A, G and N, in that order of bases; X where a codon has several."""
+    codons = code(number)[0]
+    return "".join(codons.get(a + b + c, "X") for a in BASES + "N" for b in BASES + "N" for c in BASES + "N")
 
 
 def reverse_complement(s) -> F.Column:
@@ -53,10 +55,11 @@ def reverse_complement(s) -> F.Column:
 
 def translate_dna(s, number: int = 11, start: bool = True) -> F.Column:
     """Protein of whole codons; unknown codons are X; a start codon at the beginning is M."""
-    up = F.regexp_replace(F.upper(s), "[^ACGT]", "N")
-    table = codon_map(number)
+    # bases as digits 0 to 4: a codon is a number, and its acid is at that place of one line
+    digits = F.translate(F.regexp_replace(F.upper(s), "[^ACGT]", "N"), BASES + "N", "01234")
+    line = F.lit(codon_line(number))
     at = F.when(F.length(s) >= 3, F.sequence(F.lit(1), F.length(s) - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    protein = F.array_join(F.transform(at, lambda i: F.coalesce(F.element_at(table, F.substring(up, i, F.lit(3))), F.lit("X"))), "")
+    protein = F.array_join(F.transform(at, lambda i: F.substring(line, F.conv(F.substring(digits, i, F.lit(3)), 5, 10).cast("int") + 1, F.lit(1))), "")
     if not start:
         return protein
     return F.when(F.substring(s, 1, 3).isin(*code(number)[1]), F.concat(F.lit("M"), F.substring(protein, 2, 1 << 30))).otherwise(protein)

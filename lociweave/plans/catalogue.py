@@ -60,7 +60,7 @@ ORDER_GRAPH = f"{ORDERS}, {PREV}, {EM}, {SYM}"
 @_query(f"""{TOKENS} select count(*) filter (support / n >= 0.99) as core, count(*) filter (support / n >= 0.95 and support / n < 0.99) as soft_core,
   count(*) filter (support / n >= 0.15 and support / n < 0.95) as shell, count(*) filter (support / n < 0.15) as cloud, count(*) as total from sup, n""")
 def summary_statistics(spark, sf):
-    return matrix.summary(matrix.presence(V.token_genes(spark, sf)))
+    return matrix.summary(written(matrix.presence(V.token_genes(spark, sf))))
 
 
 @_query(f"{TOKENS} select cluster, support from sup")
@@ -174,7 +174,7 @@ def edge_support(spark, sf):
 
 @_query(f"{TEXT_GRAPH} select sup.cluster, count(node) as degree from sup left join sym on node = cluster group by sup.cluster")
 def node_degree(spark, sf):
-    g = V.token_genes(spark, sf)
+    g = written(V.token_genes(spark, sf))
     return graph.degree(g.select("cluster").distinct(), graph.edges(graph.edge_members(g)))
 
 
@@ -192,14 +192,14 @@ def _round(i: int) -> str:
 
 @_query(f"{TEXT_GRAPH}, n0 as (select * from sup), e0 as (select a, b from ed), {_round(0)}, {_round(1)} select cluster, support from n2")
 def trim_two_rounds(spark, sf):
-    g = V.token_genes(spark, sf)
+    g = written(V.token_genes(spark, sf))
     return graph.trim(written(matrix.support(matrix.presence(g))), written(graph.edges(graph.edge_members(g))), 3, 2)[0]
 
 
 @_query(f"{TEXT_GRAPH}, n0 as (select * from sup), e0 as (select a, b from ed), {', '.join(map(_round, range(6)))} select cluster, support from n6")
 def trim_to_fixpoint(spark, sf):
     """Two rounds are enough for the given tables; the SQL has six."""
-    g = V.token_genes(spark, sf)
+    g = written(V.token_genes(spark, sf))
     return graph.trim(written(matrix.support(matrix.presence(g))), written(graph.edges(graph.edge_members(g))), 3, None, written)[0]
 
 
@@ -208,7 +208,7 @@ def trim_to_fixpoint(spark, sf):
   y as materialized (select x.*, ea.cluster is not null as ea, eb.cluster is not null as eb from x left join en ea on ea.cluster = x.a left join en eb on eb.cluster = x.b)
   select a, b, support from ed where support >= 2 union all select a, b, support from y where not ea and not eb and support >= 0.05 * least(sa, sb)""")
 def clean_edges(spark, sf):
-    g = V.token_genes(spark, sf)
+    g = written(V.token_genes(spark, sf))
     return graph.clean_edges(matrix.support(matrix.presence(g)), graph.contig_ends(g), graph.edges(graph.edge_members(g)), 2)
 
 
@@ -230,7 +230,7 @@ def structural_variants_text(spark, sf):
 @_query(f"""{TEXT_GRAPH}, near as (select distinct s.node as cluster, m.genome from sym s join members m on m.cluster = s.neighbour where s.node in (select cluster from sup where support >= 12))
   select near.cluster, near.genome from near anti join members m on m.cluster = near.cluster and m.genome = near.genome""")
 def missing_with_neighbour(spark, sf):
-    g = V.token_genes(spark, sf)
+    g = written(V.token_genes(spark, sf))
     return graph.missing_with_neighbour(written(matrix.presence(g)), graph.edge_members(g), 12)
 
 
@@ -251,8 +251,8 @@ _STRONG = "st as (select a, b from ed where support >= 5), sy as (select a as x,
 @_query(f"{ORDER_GRAPH}, {_STRONG}, h as (select cluster as source, cluster as node, 0 as hops from sup union select s.cluster, x.y, 1 from sup s join sy x on x.x = s.cluster union select s.cluster, z.y, 2 from sup s join sy x on x.x = s.cluster join sy z on z.x = x.y), "
         "b as (select source, node, min(hops) as hops from h group by source, node) select source, hops, count(*) as nodes from b group by source, hops")
 def neighbourhood_support(spark, sf):
-    g = V.order_genes(spark, sf)
-    e = graph.edges(graph.edge_members(g)).where("support >= 5")
+    g = written(V.order_genes(spark, sf))
+    e = written(graph.edges(graph.edge_members(g)).where("support >= 5"))
     return graph.within(e, g.select("cluster").distinct(), 2).groupBy("source", "hops").agg(F.count("*").alias("nodes"))
 
 
@@ -338,7 +338,7 @@ def cluster_weights(spark, sf):
   select round(s, 4) as observed, round(s + (m - 1) / m * q1 * (q1 - 1) / (2 * (q2 + 1)), 4) as chao2, round(sf + si / c + q1 / c * greatest(si / c * t / (t - 1) * j / (iq * (iq - 1)) - 1, 0.0), 4) as ice,
     round(s + q1 * (m - 1) / m, 4) as jack1, round(s + q1 * (2 * m - 3) / m - q2 * (m - 2) * (m - 2) / (m * (m - 1)), 4) as jack2 from x""".replace("* 1.0 as", "::double as"))
 def richness(spark, sf):
-    return stats.richness(matrix.presence(V.token_genes(spark, sf)))
+    return stats.richness(written(matrix.presence(V.token_genes(spark, sf))))
 
 
 @_query(f"""{TOKENS}, g as (select support as k, count(*) as g from sup group by support), x as (select k, g, n, unnest(range(1, n + 1)) as s from g, n), lf as (select i, coalesce(sum(ln(greatest(i, 1))) over (order by i rows unbounded preceding), 0) as l from (select unnest(range(0, n + 1)) as i from n)),
@@ -346,7 +346,7 @@ def richness(spark, sf):
    join lf a on a.i = greatest(n - k, 0) join lf b on b.i = greatest(n - k - s, 0) join lf c on c.i = n join lf b2 on b2.i = n - s join lf d on d.i = k join lf e on e.i = greatest(k - s, 0))
   select s as n_genomes, round(sum(g * (1 - absent)), 4) as pan, round(sum(g * every), 4) as core from y group by s""")
 def pan_core_curve(spark, sf):
-    return stats.pan_core_curve(matrix.presence(V.token_genes(spark, sf)))
+    return stats.pan_core_curve(written(matrix.presence(V.token_genes(spark, sf))))
 
 
 @_query(f"""{ORDERS}, o as (select genome, row_number() over (order by genome) - 1 as slot from (select distinct genome from members)), d as (select n, unnest(range(2, n + 1)) as n_genomes from n), e as (select *, unnest(range(1, 6)) as boot from d), f as (select *, unnest(range(1, n_genomes + 1)) as i from e),
@@ -454,7 +454,7 @@ _SKETCH = """with w as (select source, regexp_extract_all(lower(text), '[a-z]+')
   j as (select a, b, sum(case when n = 2 then 1 else 0 end)::double / count(*) as j from r where r <= 1000 group by a, b)
   select a, b, round(j, 9) as jaccard, round(case when j > 0 then -ln(2 * j / (1 + j)) / 3 else 1.0 end, 6) + 0.0 as distance from j""")
 def kmer_jaccard_distance(spark, sf):
-    return cluster.sketch_distances(cluster.word_sketches(V.table(spark, sf, "documents").select(F.col("source").alias("genome"), "text"), 3, 1000), 3, 1000)
+    return cluster.sketch_distances(cluster.word_sketches(V.texts(spark, sf, "documents", F.col("source").alias("genome"), "text"), 3, 1000), 3, 1000)
 
 
 @_query("""with w as (select source as genome, regexp_extract_all(lower(text), '[a-z]+') as w from documents), d as (select distinct genome, array_to_string(w[i:i + 4], ' ') as k from (select genome, w, unnest(range(1, len(w) - 3)) as i from w)),
@@ -462,7 +462,7 @@ def kmer_jaccard_distance(spark, sf):
   n as (select ref, count(*) as n from r group by ref), c as (select genome, ref, count(*) as shared from d join r using (k) group by all), o as (select genome, c.ref, shared, round(shared::double / n, 9) as containment, row_number() over (partition by genome order by shared desc, c.ref) as rank from c join n using (ref))
   select genome, ref, shared, containment, cast(rank as integer) as rank from o where rank <= 10""")
 def containment_screen(spark, sf):
-    d = V.table(spark, sf, "documents").select(F.col("source").alias("genome"), "text")
+    d = V.texts(spark, sf, "documents", F.col("source").alias("genome"), "text")
     return cluster.containment(d, V.table(spark, sf, "benchmark").select(F.col("item_id").alias("ref"), "text"), 5, 10)
 
 

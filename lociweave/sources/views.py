@@ -9,10 +9,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
+    """Columns of a table of texts for work on each text, over all cores: fewer files than cores are dealt out first.
+
+    (A small file is one row group and so one task. A large table has files enough and is read as it lies.)
+    """
+    rows = table(spark, sf_dir, name).select(*columns)
+    n = spark.sparkContext.defaultParallelism
+    return rows.repartition(n) if len(rows.inputFiles()) < n else rows
+
+
 def token_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genomes are document sources, contigs documents, genes their lower-case words."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("genome"), F.col("doc_id").alias("contig"), words.alias("w"))
+    d = texts(spark, sf_dir, "documents", "source", "doc_id", "text").select(F.col("source").alias("genome"), F.col("doc_id").alias("contig"), words.alias("w"))
     return d.select("genome", "contig", F.posexplode("w").alias("pos", "cluster")).select("genome", "contig", (F.col("pos") + 1).cast("bigint").alias("ix"), "cluster")
 
 
@@ -41,7 +51,7 @@ def as_dna(x) -> F.Column:
 
 def dna_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gene, genome, record, dna): a sequence of 96 bases per document; genes are sources."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents", "source", "lang", "doc_id", "text")
     return d.select(F.col("source").alias("gene"), F.col("lang").alias("genome"), F.col("doc_id").alias("record"), as_dna(F.col("text")).alias("dna"))
 
 
