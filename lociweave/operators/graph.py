@@ -9,8 +9,12 @@ import itertools
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.stage import written
 from .matrix import presence
 
+#: Neighbours of a node in a block whose pairs are made under one key.
+PAIRED = 512
+
 
 def edge_members(genes: DataFrame) -> DataFrame:
     """(a, b, genome): clusters next to each other on a contig, once per genome. A cluster is not its own neighbour."""
@@ -75,16 +79,37 @@ def clean_edges(nodes: DataFrame, ends: DataFrame, e: DataFrame, least: float, s
 def structural_variants(members: DataFrame, least: int, centre_degree: int = 3) -> DataFrame:
     """(centre, a, b, support): pairs of edges at a node of three or more that at least so many genomes share.
 
-    Edges of less support can't be in a pair and are dropped before the join, which is on (centre, genome).
+    Edges of less support can't be in a pair and are dropped first. Then either the edges of a node are paired and their
+    genomes compared, or the edges of a node in one genome are paired and the pairs counted: whichever makes fewer rows.
     """
     strong = edges(members)
     sym = both_ways(strong.where(F.col("support") >= least).select("a", "b"))
     centres = both_ways(strong.select("a", "b")).groupBy("node").count().where(F.col("count") >= centre_degree).select("node")
-    inc = both_ways(members).join(sym, ["node", "neighbour"]).join(centres, "node", "left_semi")
-    left = inc.select("node", "genome", F.col("neighbour").alias("x"))
-    right = inc.select("node", "genome", F.col("neighbour").alias("y"))
-    pairs = left.join(right, ["node", "genome"]).where("x < y")
-    return pairs.groupBy(F.col("node").alias("centre"), F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("support")).where(F.col("support") >= least)
+    inc = written(both_ways(members).join(sym, ["node", "neighbour"]).join(centres, "node", "left_semi"))
+    square = F.sum(F.col("n").cast("double") * (F.col("n") - 1))
+    of_node = inc.groupBy("node").agg(F.countDistinct("neighbour").alias("n"))
+    by_edge, by_genome = (x.agg(F.coalesce(square, F.lit(0.0))).first()[0] for x in (of_node, inc.groupBy("node", "genome").agg(F.count("*").alias("n"))))
+    if by_edge > by_genome:
+        left = inc.select("node", "genome", F.col("neighbour").alias("x"))
+        right = inc.select("node", "genome", F.col("neighbour").alias("y"))
+        pairs = left.join(right, ["node", "genome"]).where("x < y").groupBy("node", "x", "y").agg(F.count("*").alias("support"))
+    else:
+        pairs = _edge_pairs(inc, of_node)
+    return pairs.where(F.col("support") >= least).select(F.col("node").alias("centre"), F.col("x").alias("a"), F.col("y").alias("b"), "support")
+
+
+def _edge_pairs(inc: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(node, x, y, support): pairs of a node's neighbours x < y and the genomes that both edges have.
+
+    The neighbours of a node are cut into blocks, and each pair of blocks is a join key, so no hub is one task.
+    """
+    sets = inc.groupBy("node", "neighbour").agg(F.collect_list("genome").alias("g")).join(degrees, "node")
+    blocks = F.ceil(F.col("n") / PAIRED).cast("int")
+    sets = sets.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("neighbour"), blocks).cast("int")})
+    left = sets.select("node", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("neighbour").alias("l"), F.col("g").alias("gl"))
+    right = sets.select("node", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("neighbour").alias("r"), F.col("g").alias("gr"))
+    pairs = left.join(right, ["node", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("l") < F.col("r")))
+    return pairs.select("node", F.least("l", "r").alias("x"), F.greatest("l", "r").alias("y"), F.size(F.array_intersect("gl", "gr")).cast("bigint").alias("support"))
 
 
 def missing_with_neighbour(members: DataFrame, em: DataFrame, least: int) -> DataFrame:

@@ -74,6 +74,26 @@ def test_delete_and_remove_bridge(spark):
     assert ("x", 0) not in rows(m2) and ("a", "b", 0) in rows(e2) and ("a", "x", 1) in rows(e2)
 
 
+def test_structural_variants_by_either_way(spark, monkeypatch):
+    r = random.Random(6)
+    g = genes(spark, [(n % 9, "".join(r.choice("abcdefghijklmnop") + ("h" if r.random() < 0.5 else "") for _ in range(6))) for n in range(200)])
+    em = graph.edge_members(g)
+    have = {}
+    for a, b, n in rows(em):
+        have.setdefault((a, b), set()).add(n)
+    near = {}
+    for (a, b), n in have.items():
+        near.setdefault(a, {})[b] = n
+        near.setdefault(b, {})[a] = n
+    for least in (2, 5):
+        want = sorted((c, x, y, len(near[c][x] & near[c][y])) for c in near if len(near[c]) >= 3 for x in near[c] for y in near[c] if x < y and len(near[c][x]) >= least and len(near[c][y]) >= least and len(near[c][x] & near[c][y]) >= least)
+        assert rows(graph.structural_variants(em, least)) == want
+        monkeypatch.setattr(graph, "PAIRED", 3)
+        assert rows(graph.structural_variants(em, least)) == want
+    lone = spark.createDataFrame([("a", "h", 1), ("b", "h", 2), ("c", "h", 3), ("d", "h", 1)], "a string, b string, genome int")
+    assert rows(graph.structural_variants(lone, 1)) == [("h", "a", "d", 1)]
+
+
 def test_contract_unites_and_checks(spark):
     g = genes(spark, [(0, "ab"), (1, "cb")])
     into = spark.createDataFrame([("c", "a")], "old string, new string")
