@@ -96,8 +96,11 @@ def pan_core_curve(members: DataFrame) -> DataFrame:
     return g.groupBy(s.alias("n_genomes")).agg(F.round(F.sum(F.col("genes") * (1 - absent)), 4).alias("pan"), F.round(F.sum(F.col("genes") * every), 4).alias("core"))
 
 
-def accumulation(members: DataFrame, boots: int = 5, seed: str = "7") -> DataFrame:
-    """(n_genomes, low, mean, high): clusters in n genomes drawn with replacement; digests stand for a random source."""
+def accumulation(members: DataFrame, boots: int = 100, seed: str = "7") -> DataFrame:
+    """(n_genomes, low, mean, high): clusters in n genomes drawn with replacement; digests stand for a random source.
+
+    Clusters of the same genomes are counted together, so the draws meet each pattern once.
+    """
     ordered = members.select("genome").distinct().withColumn("slot", F.row_number().over(Window.orderBy("genome")) - 1)  # a row per genome
     n = genome_count(members)
     draw = n.select("n", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("n"))).alias("n_genomes")).select("*", F.explode(F.sequence(F.lit(1), F.lit(boots))).alias("boot"))
@@ -105,7 +108,9 @@ def accumulation(members: DataFrame, boots: int = 5, seed: str = "7") -> DataFra
     key = F.concat_ws("-", F.lit(seed), F.col("n_genomes").cast("string"), F.col("boot").cast("string"), F.col("i").cast("string"))
     draw = draw.select("n_genomes", "boot", (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % F.col("n")).alias("slot")).distinct()
     drawn = draw.join(ordered, "slot").select("n_genomes", "boot", "genome")
-    per = members.join(drawn, "genome").select("n_genomes", "boot", "cluster").distinct().groupBy("n_genomes", "boot").agg(F.count("*").alias("c"))
+    alike = members.groupBy("cluster").agg(F.sort_array(F.collect_list("genome")).alias("g")).groupBy("g").agg(F.count("*").alias("w"))
+    alike = alike.select(F.md5(F.array_join(F.transform("g", lambda x: x.cast("string")), "\t")).alias("pattern"), "w", F.explode("g").alias("genome"))
+    per = alike.join(drawn, "genome").select("n_genomes", "boot", "pattern", "w").distinct().groupBy("n_genomes", "boot").agg(F.sum("w").alias("c"))
     q = F.expr("percentile(c, array(0.025, 0.975))")
     return per.groupBy("n_genomes").agg(F.round(q[0], 4).alias("low"), F.round(F.avg("c"), 4).alias("mean"), F.round(q[1], 4).alias("high"))
 

@@ -349,7 +349,7 @@ def pan_core_curve(spark, sf):
     return stats.pan_core_curve(written(matrix.presence(V.token_genes(spark, sf))))
 
 
-@_query(f"""{ORDERS}, o as (select genome, row_number() over (order by genome) - 1 as slot from (select distinct genome from members)), d as (select n, unnest(range(2, n + 1)) as n_genomes from n), e as (select *, unnest(range(1, 6)) as boot from d), f as (select *, unnest(range(1, n_genomes + 1)) as i from e),
+@_query(f"""{ORDERS}, o as (select genome, row_number() over (order by genome) - 1 as slot from (select distinct genome from members)), d as (select n, unnest(range(2, n + 1)) as n_genomes from n), e as (select *, unnest(range(1, 101)) as boot from d), f as (select *, unnest(range(1, n_genomes + 1)) as i from e),
   h as (select distinct n_genomes, boot, cast('0x' || substr(md5('7-' || n_genomes || '-' || boot || '-' || i), 1, 8) as bigint) % n as slot from f), c as (select n_genomes, boot, count(distinct cluster) as c from h join o using (slot) join members using (genome) group by all)
   select n_genomes, round(quantile_cont(c, 0.025), 4) as low, round(avg(c), 4) as mean, round(quantile_cont(c, 0.975), 4) as high from c group by n_genomes""")
 def accumulation_bootstrap(spark, sf):
@@ -591,8 +591,9 @@ def finite_fit(spark, sf):
     text = names[0] + ":1"
     for x in names[1:]:
         text = f"({text},{x}:1):1"
-    fit = models.fit_finite(spark, m, models.parse_newick(text + ";"), 2)
-    return spark.createDataFrame([(k, float(v)) for k, v in fit.items() if not isinstance(v, list)], "parameter string, value double")
+    fit = models.fit_finite(spark, m, models.parse_newick(text + ";"), 20)
+    flat = [(k if i is None else f"{k}_{('low', 'high')[i]}", float(x)) for k, v in fit.items() for i, x in (enumerate(v) if isinstance(v, list) else [(None, v)])]
+    return spark.createDataFrame(flat, "parameter string, value double")
 
 
 @_query()
