@@ -121,10 +121,9 @@ def word_sketches(rows: DataFrame, k: int, size: int) -> DataFrame:
     w = rows.select("genome", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)")).alias("w")).where(F.size("w") >= k)
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.md5(F.array_join(F.slice("w", i, F.lit(k)), " ")))
     h = w.select("genome", F.explode(F.array_distinct(runs)).alias("h"))
-    # each task keeps its own smallest before the shuffle by genome, since the smallest of all are among them
-    small = h.distinct()
-    r = F.row_number().over(Window.partitionBy("genome").orderBy("h"))
-    return small.withColumn("r", r).where(F.col("r") <= size).select("genome", "h")
+    # ranked without a distinct before, so that each task keeps only its own smallest for the shuffle by genome
+    r = F.dense_rank().over(Window.partitionBy("genome").orderBy("h"))
+    return h.withColumn("r", r).where(F.col("r") <= size).select("genome", "h").distinct()
 
 
 def sketch_distances(sketches: DataFrame, k: int, size: int) -> DataFrame:

@@ -25,7 +25,7 @@ def genes(spark, contigs):
     return spark.createDataFrame([(g, i, j, c) for i, (g, s) in enumerate(contigs) for j, c in enumerate(s)], GENES)
 
 
-FAST = [n for n in catalogue.oracle_sql() if n not in ("kmer_jaccard_distance", "shortest_hops")]
+FAST = list(catalogue.oracle_sql())
 
 
 @pytest.mark.parametrize("name", FAST)
