@@ -180,8 +180,8 @@ class Matches:
     longest: list[tuple[int, int, int, int, int]] = field(default_factory=list)
 
 
-def shard_matches(items: list[str], block: Block, places: bool = True) -> Matches:
-    """Verbatim windows of the block's items in some texts; the longest matches only if their places are asked for."""
+def shard_matches(items: list[str], block: Block) -> Matches:
+    """Verbatim windows of the block's items in some texts, and the longest matches by the shard's suffix arrays."""
     hashes, starts, doc, folded, ends = shard_words(items)
     out = Matches(np.bincount(doc, minlength=len(items)) if len(doc) else np.zeros(len(items), np.int64))
     if not len(block.vocabulary) or not len(doc):
@@ -238,12 +238,8 @@ def shard_matches(items: list[str], block: Block, places: bool = True) -> Matche
         place = of[every].astype(np.int64)
         owner = np.searchsorted(block.begins, place, "right") - 1
         out.items += [tuple(x) for x in np.unique(np.stack([np.repeat(pair[:, 0], size), owner], 1), axis=0).tolist()]
-        if places and w == WINDOW and mine.any():
+        if mine.any():  # a shorter item matches as a whole
             found += _longest(line, np.unique(live[mine]), block, np.unique(place), text_of, begins)
-        elif places:  # a shorter item matches as a whole
-            at = live[mine]
-            owner = np.searchsorted(block.begins, of[first[kind[mine]]], "right") - 1
-            found += zip(text_of[at].tolist(), (at - begins[text_of[at]]).tolist(), [w] * len(at), owner.tolist(), [0] * len(at), strict=True)
     text = end = -1
     for m in sorted(found, key=lambda m: (m[0], m[1], -m[2], m[3])):
         if m[0] != text or m[1] + m[2] > end:  # one within another isn't the longest
@@ -419,10 +415,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
 
 
 def _hit(items: list[str], block: Block) -> np.ndarray:
-    """Which texts hold a window."""
+    """Which texts have a longest match, as the suffix arrays tell."""
     out = np.zeros(len(items), bool)
     for lo, hi in groups_of(items, SHARD_CHARS):
-        out[[lo + d for d, *_ in shard_matches(items[lo:hi], block, False).spans]] = True
+        out[[lo + d for d, *_ in shard_matches(items[lo:hi], block).longest]] = True
     return out
 
 

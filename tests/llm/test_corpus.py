@@ -361,6 +361,18 @@ def test_longest_matches_equal_brute_force():
             assert all(split(dict(items)[block.items[i]])[j : j + n] == w[s : s + n] for _, s, n, i, j in got)
 
 
+def test_texts_are_dropped_by_the_matches_of_suffix_arrays(monkeypatch):
+    long, short = " ".join(f"a{i}" for i in range(14)), "one two three"
+    block = decontaminate.build_block([("L", long), ("S", short)])
+    texts = [f"x {long} y", "x " + " ".join(long.split()[2:12]), f"{short} one two", "one two", " ".join(long.split()[:9]), "", short]
+    searched, real = [], decontaminate._longest
+    monkeypatch.setattr(decontaminate, "_longest", lambda *x: searched.append(real(*x)) or searched[-1])
+    assert decontaminate._hit(texts, block).tolist() == [True, True, True, False, False, False, True]
+    assert sorted(m[2] for found in searched for m in found if m[0] in (1, 2, 6)) == [3, 3, 10]
+    monkeypatch.setattr(decontaminate, "_longest", lambda *x: [])
+    assert not decontaminate._hit(texts, block).any()
+
+
 def test_longest_matches_of_two_items_stay_two(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
     bench = spark.createDataFrame([("A", a), ("B", b)], "item_id string, text string")
