@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dna as D, kernels
@@ -551,11 +552,11 @@ def infix_identity(spark, sf):
 
     def run(batches):
         for x in batches:
-            x["identity"] = [kernels.infix_identity(a, b, True) for a, b in zip(x["a"], x["b"], strict=True)]
-            yield x
+            identity = kernels.infix_identities(x.column("a"), x.column("b"), True)
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(identity)], names=["a", "b", "identity"])
 
     prepared(spark)
-    return p.mapInPandas(run, "a string, b string, identity double")
+    return p.mapInArrow(run, "a string, b string, identity double")
 
 
 @_query(f"with {V.DNA} select record, {_RC.format('substr(dna, 30, 40)')} as sequence, cast(29 as integer) as start, cast(-1 as integer) as strand from dna")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lociweave.functions import dna, kernels as K
@@ -36,6 +37,19 @@ def test_infix_identity_strands_and_wildcards():
     assert K.infix_identity("AAAA", "CCCCCC") == 0
 
 
+def test_infix_identities_of_many_equal_those_of_each():
+    r = random.Random(11)
+    for dna, letters in ((True, "ACGT"), (True, "ACGTNRn"), (False, "ACDXBZNEQ"), (False, "AC\u00e9\U0001f600X")):
+        pairs = [("", ""), ("", "A"), ("A" * 64, "A" * 64), ("C" * 65, "A" + "C" * 64), ("A" * 128, "A" * 129)]
+        for _ in range(300):
+            a = r.choices(letters, k=r.choice([1, 5, 40, 63, 64, 65, 96, 128, 150]))
+            b = [c if r.random() < 0.9 else r.choice(letters) for c in a][r.randint(0, 3) :] + r.choices(letters, k=r.randint(0, 20))
+            pairs.append(("".join(a), "".join(r.choice([b, r.choices(letters, k=r.randint(0, 99))]))))
+        pairs += [(a, K.reverse_complement(b)) for a, b in pairs[:100]]
+        got = K.infix_identities(*(pa.array(x) for x in zip(*pairs, strict=True)), dna)
+        assert got.tolist() == [K.infix_identity(a, b, dna) for a, b in pairs]
+
+
 def test_search_forward_reverse_and_over_the_end():
     q = WINDOW[100:135]
     seq, (s, e), strand = K.search_dna(WINDOW, q, 0.5, 0.99)
