@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dna import reverse_complement
-from ..functions.kernels import infix_identity, reverse_complement as kernel_complement
+from ..functions.kernels import infix_identities
 from ..sources.stage import prepared, written
 
 
@@ -37,21 +37,54 @@ def seed_length(rows: DataFrame, identity: float) -> int:
     return max(1, rows.where(n > 0).agg(F.min(F.floor(n / (edits(n, identity) + 1)))).first()[0] or 1)
 
 
+#: Letters on either side of a seed that are packed into a number, two bits each.
+PACKED = 31
+
+
+def packed(text: Column) -> Column:
+    """Letters A, C, G, T as digits of a number; others count as A, so equal texts give equal numbers."""
+    return F.conv(F.translate(F.regexp_replace(text, "[^ACGT]", "A"), "ACGT", "0123"), 4, 10).cast("long")
+
+
 def whole_pieces(rows: DataFrame, identity: float, length_ratio: float, k: int) -> DataFrame:
     """(a, b): DNA pairs, on either strand, of which a holds a piece of b near where an alignment would have it.
 
     b is cut into a piece more than it may have edits; the first k letters of each are looked for. With e edits, the
     piece that begins i letters into b begins i - e to i + e letters into a, more by what a is longer.
+    If the pieces are even in number, one without edits is next to one with at most one: were all neighbours of such
+    pieces to have two, there would be as many edits as pieces. So one half of that neighbour is in a too, at most one
+    letter off. Half of at most 4 letters each are compared, in the join.
     """
     n = F.length("seq")
     e = edits(n, identity)
+    h = min(4, k // 2)
+    back = 2 * h + 1
+    ahead = PACKED - back
     both = rows.select("id", "seq").unionAll(rows.select("id", reverse_complement(F.col("seq")).alias("seq"))).where(n >= k)
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), e), lambda j: F.floor(j * n / (e + 1)).cast("int")))
-    short = both.select("id", n.alias("nb"), e.alias("e"), "seq", F.explode(starts).alias("i")).select(F.col("id").alias("b"), "nb", "e", "i", F.xxhash64(F.substring("seq", F.col("i") + 1, F.lit(k))).alias("seed"))
-    long = rows.where(n >= k).select(F.col("id").alias("a"), n.alias("na"), "seq", F.explode(F.sequence(F.lit(0), n - k)).alias("p")).select("a", "na", "p", F.xxhash64(F.substring("seq", F.col("p") + 1, F.lit(k))).alias("seed"))
+    start = lambda j: F.floor(j * n / (e + 1)).cast("int")
+    short = both.select("id", "seq", n.alias("nb"), e.alias("e"), F.explode(F.sequence(F.lit(0), e)).alias("j"))
+    short = short.select("*", start(F.col("j")).alias("i"), start(F.col("j") + 1).alias("next"))
+    part = lambda at: packed(F.substring("seq", at + 1, F.lit(h)))
+    off = F.col("next") - F.col("i") - k  # letters between the seed and the next piece
+    tested = (F.col("e") % 2 == 1) & (off <= ahead - back) if h else F.lit(False)
+    mine = {"ra": part(F.col("next")), "rb": part(F.col("next") + h), "la": part(F.col("i") - h), "lb": part(F.col("i") - 2 * h)} if h else {}
+    short = short.select(
+        F.col("id").alias("b"), "nb", "e", "i", F.xxhash64(F.substring("seq", F.col("i") + 1, F.lit(k))).alias("seed"), off.alias("off"), tested.alias("tested"),
+        (F.col("j") < F.col("e")).alias("right"), (F.col("j") > 0).alias("left"), *[v.alias(c) for c, v in mine.items()],
+    )
+    around = F.concat(F.lit("A" * back), "seq", F.lit("A" * ahead))
+    long = rows.where(n >= k).select(F.col("id").alias("a"), n.alias("na"), "seq", around.alias("around"), F.explode(F.sequence(F.lit(0), n - k)).alias("p"))
+    near_by = packed(F.concat(F.substring("around", F.col("p") + 1, F.lit(back)), F.substring("around", F.col("p") + (back + k + 1), F.lit(ahead))))
+    long = long.select("a", "na", "p", F.xxhash64(F.substring("seq", F.col("p") + 1, F.lit(k))).alias("seed"), near_by.alias("near_by"))
     order = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     near = F.col("p").between(F.col("i") - F.col("e"), F.col("i") + F.col("na") - F.col("nb") + F.col("e"))
-    return long.join(short, "seed").where(order & near & (F.col("nb") >= length_ratio * F.col("na"))).select("a", "b").distinct()
+    fits = ~F.col("tested")
+    if h:
+        at = lambda letter: f"(shiftright(near_by, 2 * ({PACKED - h} - ({letter}))) & {4**h - 1}L)"
+        right = " or ".join([f"{at(f'{back} + off')} = ra", *(f"{at(f'{back + h + d} + off')} = rb" for d in (-1, 0, 1))])
+        left = " or ".join([f"{at(back - h)} = la", *(f"{at(back - 2 * h + d)} = lb" for d in (-1, 0, 1))])
+        fits = fits | F.expr(f"(right and ({right})) or (left and ({left}))")
+    return long.join(short, "seed").where(order & near & (F.col("nb") >= length_ratio * F.col("na")) & fits).select("a", "b").distinct()
 
 
 def similar(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int | None = 5, dna: bool = False) -> DataFrame:
@@ -76,21 +109,13 @@ def similar(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int
     p = cand.join(x, "a").join(y, "b").where((F.length("sa") > F.length("sb")) | ((F.length("sa") == F.length("sb")) & (F.col("a") < F.col("b"))))
     p = p.where(F.length("sb") >= length_ratio * F.length("sa"))
 
-    def may(x: str, y: str) -> bool:
-        """Whether y shares as many 5-mers with x, on one strand, as its edits must leave."""
-        least = len(y) - 4 - 5 * int((1 - identity) * len(y) + 1e-9)
-        held = {x[i : i + 5] for i in range(len(x) - 4)}
-        return any(sum(z[i : i + 5] in held for i in range(len(z) - 4)) >= least for z in (y, kernel_complement(y)))
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if exact:
-                b = b[[may(x, y) for x, y in zip(b["sa"], b["sb"], strict=True)]]
-            b = b.assign(identity=[infix_identity(x, y, dna) for x, y in zip(b["sa"], b["sb"], strict=True)])
-            yield b.loc[b["identity"] >= identity, ["a", "b", "identity"]]
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            found = infix_identities(x.column("sa"), x.column("sb"), dna)
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(found)], names=["a", "b", "identity"]).filter(pa.array(found >= identity))
 
     t = rows.schema["id"].dataType.simpleString()
-    return p.mapInPandas(verify, f"a {t}, b {t}, identity double")
+    return p.select("a", "b", "sa", "sb").mapInArrow(verify, f"a {t}, b {t}, identity double")
 
 
 def greedy(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int | None = 5, dna: bool = False) -> DataFrame:

@@ -196,6 +196,27 @@ def test_dna_pairs_at_the_limit_of_identity_meet_on_both_strands(spark):
     assert rows(cluster.similar(masked, 0.9, 0.9, None, True)) == [(0, 1, 1.0)]
 
 
+def test_dna_candidates_are_few_and_hold_every_similar_pair(spark):
+    from lociweave.functions.kernels import infix_identity
+
+    r = random.Random(5)
+    for size, identity in ((96, 0.9), (90, 0.9), (60, 0.95), (30, 0.9)):
+        seqs = []
+        for _ in range(60):
+            s = r.choices("ACGT", k=size)
+            seqs.append("".join(s))
+            for _ in range(r.randint(0, int((1 - identity) * size + 1e-9))):
+                at = r.randrange(len(s))
+                s[at : at + r.randint(0, 1)] = r.choices("ACGT", k=r.randint(0, 1))
+            seqs.append("".join(s) if r.random() < 0.5 else reverse_complement("".join(s)))
+        df = spark.createDataFrame(list(enumerate(seqs)), "id int, seq string")
+        first = lambda i, j: (i, j) if (-len(seqs[i]), i) < (-len(seqs[j]), j) else (j, i)
+        want = {first(i, j) for i in range(120) for j in range(i) if min(map(len, (seqs[i], seqs[j]))) >= 0.8 * max(map(len, (seqs[i], seqs[j]))) and infix_identity(seqs[i], seqs[j], True) >= identity}
+        assert len(want) >= 40 and {x[:2] for x in rows(cluster.similar(df, identity, 0.8, None, True))} == want
+    many = spark.createDataFrame([(i, "".join(r.choices("ACGT", k=96))) for i in range(3000)], "id int, seq string")
+    assert cluster.whole_pieces(many, 0.9, 0.9, 9).count() < 500  # some 6000 share a seed alone
+
+
 def test_coarsening_and_extraction(spark):
     s = spark.createDataFrame([(1, "ACDEFGHIKLMNPQRSTVWY" * 2), (2, "ACDEFGHIKLMNPQRSTVWY" * 2), (3, "ACDEFGHIKLMNPQRSTVWA" + "ACDEFGHIKLMNPQRSTVWY"), (4, "YYYYYWWWWWVVVVV")], "id int, seq string")
     assert dict(rows(cluster.coarsen(s, (0.99, 0.9)))) == {1: 1, 2: 1, 3: 1, 4: 4}
