@@ -14,6 +14,8 @@ from .matrix import presence
 
 #: Neighbours of a node in a block whose pairs are made under one key.
 PAIRED = 512
+#: Most genomes whose sets are kept as bits of numbers; more are kept as lists.
+BITS = 630
 
 
 def edge_members(genes: DataFrame) -> DataFrame:
@@ -82,34 +84,50 @@ def structural_variants(members: DataFrame, least: int, centre_degree: int = 3)
     Edges of less support can't be in a pair and are dropped first. Then either the edges of a node are paired and their
     genomes compared, or the edges of a node in one genome are paired and the pairs counted: whichever makes fewer rows.
     """
-    strong = edges(members)
-    sym = both_ways(strong.where(F.col("support") >= least).select("a", "b"))
-    centres = both_ways(strong.select("a", "b")).groupBy("node").count().where(F.col("count") >= centre_degree).select("node")
-    inc = written(both_ways(members).join(sym, ["node", "neighbour"]).join(centres, "node", "left_semi"))
-    square = F.sum(F.col("n").cast("double") * (F.col("n") - 1))
-    of_node = inc.groupBy("node").agg(F.countDistinct("neighbour").alias("n"))
-    by_edge, by_genome = (x.agg(F.coalesce(square, F.lit(0.0))).first()[0] for x in (of_node, inc.groupBy("node", "genome").agg(F.count("*").alias("n"))))
+    sets = F.when(F.count("*") >= least, F.collect_list("genome"))
+    e = written(members.groupBy("a", "b").agg(sets.alias("g")))
+    strong = both_ways(e.where("g is not null"))
+    degrees = written(strong.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
+    few = written(degrees.where(F.col("n") < centre_degree))  # nodes whose edges of less support decide
+    every = both_ways(e.select("a", "b")).join(few, "node", "left_semi").groupBy("node").count().where(F.col("count") >= centre_degree)
+    centres = degrees.where(F.col("n") >= centre_degree).unionAll(few.join(every, "node", "left_semi"))
+    inc = written(strong.join(centres, "node"))
+    one = inc.select("node", "neighbour", F.explode("g").alias("genome"))
+    square = F.coalesce(F.sum(F.col("n").cast("double") * (F.col("n") - 1)), F.lit(0.0))
+    by_edge, by_genome = (x.agg(square).first()[0] for x in (centres, one.groupBy("node", "genome").agg(F.count("*").alias("n"))))
     if by_edge > by_genome:
-        left = inc.select("node", "genome", F.col("neighbour").alias("x"))
-        right = inc.select("node", "genome", F.col("neighbour").alias("y"))
+        left = one.select("node", "genome", F.col("neighbour").alias("x"))
+        right = one.select("node", "genome", F.col("neighbour").alias("y"))
         pairs = left.join(right, ["node", "genome"]).where("x < y").groupBy("node", "x", "y").agg(F.count("*").alias("support"))
     else:
-        pairs = _edge_pairs(inc, of_node)
+        pairs = _edge_pairs(inc, members.select("genome").distinct())
     return pairs.where(F.col("support") >= least).select(F.col("node").alias("centre"), F.col("x").alias("a"), F.col("y").alias("b"), "support")
 
 
-def _edge_pairs(inc: DataFrame, degrees: DataFrame) -> DataFrame:
+def _edge_pairs(inc: DataFrame, genomes: DataFrame) -> DataFrame:
     """(node, x, y, support): pairs of a node's neighbours x < y and the genomes that both edges have.
 
-    The neighbours of a node are cut into blocks, and each pair of blocks is a join key, so no hub is one task.
+    The neighbours of a node are cut into blocks, and each pair of blocks is a join key, so no hub is one task. Up to BITS
+    genomes, sets of them are compared as bits of numbers.
     """
-    sets = inc.groupBy("node", "neighbour").agg(F.collect_list("genome").alias("g")).join(degrees, "node")
+    known = sorted((r[0] for r in genomes.limit(BITS + 1).collect()), key=lambda g: (g is not None, g))
+    words = [known[i : i + 63] for i in range(0, len(known), 63)] if len(known) <= BITS else []
+    if words:
+        sets = inc.select("node", "neighbour", "n", F.explode("g").alias("genome"))
+        numbers = [F.coalesce(F.sum(F.expr("case " + " ".join(f"when number = {63 * w + i} then {1 << i}L" for i in range(len(x))) + " end")), F.lit(0).cast("bigint")).alias(f"g{w}") for w, x in enumerate(words)]
+        table = inc.sparkSession.createDataFrame([(g, i) for i, g in enumerate(known)], inc.schema["g"].dataType.elementType.simpleString().join(["genome ", ", number int"]))
+        table = table.withColumnRenamed("genome", "known")
+        sets = sets.join(F.broadcast(table), F.col("genome").eqNullSafe(F.col("known"))).groupBy("node", "neighbour", "n").agg(*numbers)
+    else:
+        sets = inc.withColumnRenamed("g", "g0")
+    held = [f"g{w}" for w in range(max(1, len(words)))]
     blocks = F.ceil(F.col("n") / PAIRED).cast("int")
-    sets = sets.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("neighbour"), blocks).cast("int")})
-    left = sets.select("node", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("neighbour").alias("l"), F.col("g").alias("gl"))
-    right = sets.select("node", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("neighbour").alias("r"), F.col("g").alias("gr"))
+    sets = written(sets.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("neighbour"), blocks).cast("int")}))
+    left = sets.select("node", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("neighbour").alias("l"), *[F.col(g).alias(f"l{g}") for g in held])
+    right = sets.select("node", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("neighbour").alias("r"), *[F.col(g).alias(f"r{g}") for g in held])
     pairs = left.join(right, ["node", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("l") < F.col("r")))
-    return pairs.select("node", F.least("l", "r").alias("x"), F.greatest("l", "r").alias("y"), F.size(F.array_intersect("gl", "gr")).cast("bigint").alias("support"))
+    support = F.expr(" + ".join(f"bit_count(l{g} & r{g})" for g in held)) if words else F.size(F.array_intersect("lg0", "rg0"))
+    return pairs.select("node", F.least("l", "r").alias("x"), F.greatest("l", "r").alias("y"), support.cast("bigint").alias("support"))
 
 
 def missing_with_neighbour(members: DataFrame, em: DataFrame, least: int) -> DataFrame:

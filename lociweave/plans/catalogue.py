@@ -225,7 +225,7 @@ def structural_variants(spark, sf):
 
 @_query(TEXT_GRAPH + _SV.format(k=8))
 def structural_variants_text(spark, sf):
-    return graph.structural_variants(written(graph.edge_members(V.token_genes(spark, sf))), 8)
+    return graph.structural_variants(written(V.token_edges(spark, sf)), 8)
 
 
 @_query(f"""{TEXT_GRAPH}, near as (select distinct s.node as cluster, m.genome from sym s join members m on m.cluster = s.neighbour where s.node in (select cluster from sup where support >= 12))

@@ -217,6 +217,30 @@ def test_dna_candidates_are_few_and_hold_every_similar_pair(spark):
     assert cluster.whole_pieces(many, 0.9, 0.9, 9).count() < 500  # some 6000 share a seed alone
 
 
+def test_word_edges_need_no_order_of_all_words(spark, tmp_path):
+    from lociweave.sources import views as V
+
+    docs = [("s", 1, "A b a c"), ("s", 1, "a B a c"), ("t", 1, "b a"), (None, 2, "x y y x z"), ("s", None, "q r"), ("t", 3, None), ("t", 4, "one"), ("t", 5, "")]
+    spark.createDataFrame(docs, "source string, doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = graph.edge_members(V.token_genes(spark, str(tmp_path)))
+    assert sorted(map(str, rows(V.token_edges(spark, str(tmp_path))))) == sorted(map(str, rows(want)))
+    assert "Window" not in V.token_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_variants_by_bits_equal_those_by_lists(spark, monkeypatch):
+    r = random.Random(8)
+    members = sorted({(*sorted((f"n{r.randint(0, 3)}", f"x{r.randint(0, 30)}")), r.randint(0, 140)) for _ in range(6000)})
+    em = spark.createDataFrame(members, "a string, b string, genome int")
+    held = {}
+    for a, b, g in members:
+        for node, near in ((a, b), (b, a)):
+            held.setdefault(node, {}).setdefault(near, set()).add(g)
+    want = sorted((c, x, y, len(e[x] & e[y])) for c, e in held.items() if len(e) > 2 for x in e for y in e if x < y and len(e[x] & e[y]) >= 15)
+    for bits in (graph.BITS, 0):
+        monkeypatch.setattr(graph, "BITS", bits)
+        assert sorted(rows(graph.structural_variants(em, 15))) == want and want
+
+
 def test_coarsening_and_extraction(spark):
     s = spark.createDataFrame([(1, "ACDEFGHIKLMNPQRSTVWY" * 2), (2, "ACDEFGHIKLMNPQRSTVWY" * 2), (3, "ACDEFGHIKLMNPQRSTVWA" + "ACDEFGHIKLMNPQRSTVWY"), (4, "YYYYYWWWWWVVVVV")], "id int, seq string")
     assert dict(rows(cluster.coarsen(s, (0.99, 0.9)))) == {1: 1, 2: 1, 3: 1, 4: 4}
