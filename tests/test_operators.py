@@ -241,6 +241,36 @@ def test_variants_by_bits_equal_those_by_lists(spark, monkeypatch):
         assert sorted(rows(graph.structural_variants(em, 15))) == want and want
 
 
+def test_families_equal_rounds_by_hand_and_contract_genomes_once(spark, monkeypatch):
+    r = random.Random(12)
+    names = [f"c{i:02}" for i in range(30)]
+    held = {c: set(r.sample(range(12), r.randint(1, 3))) for c in names}
+    links = {tuple(sorted(r.sample(names, 2))) for _ in range(60)}
+    sim = {tuple(sorted(r.sample(names, 2))) for _ in range(120)}
+    members = spark.createDataFrame([(c, g) for c, gs in held.items() for g in sorted(gs)], "cluster string, genome int")
+    em = spark.createDataFrame([(a, b, 0) for a, b in sorted(links)], "a string, b string, genome int")
+    new, e, pairs, held, rounds = {c: c for c in names}, set(links), set(sim), dict(held), 0
+    while True:
+        near = {c: {c} | {y for x in e for y in x if c in x} for c in held}
+        centres = [near[c] for c in held if len(near[c]) > 3]
+        free = {(a, b) for a, b in pairs if not held[a] & held[b] and any(a in n and b in n for n in centres)}
+        if not free:
+            break
+        rounds += 1
+        of = {c: [y for x in free if c in x for y in x if y != c] for x in free for c in x}
+        best = {c: min(near_by, key=lambda y: (-len(held[y]), y)) for c, near_by in of.items()}
+        into = {b: a for a, b in best.items() if best[b] == a and a < b} or dict([min(free)[::-1]])
+        for b, a in into.items():
+            held[a] = held[a] | held.pop(b)
+        moved = lambda xs: {tuple(sorted((into.get(a, a), into.get(b, b)))) for a, b in xs if into.get(a, a) != into.get(b, b)}  # noqa: B023, E731
+        e, pairs, new = moved(e), moved(pairs), {c: into.get(n, n) for c, n in new.items()}
+    calls, real = [], graph.contract
+    monkeypatch.setattr(graph, "contract", lambda *x: calls.append(x) or real(*x))
+    m, edges_, got = correct.collapse_families(members, em, spark.createDataFrame(sorted(sim), "a string, b string"), (1,))
+    assert dict(rows(got)) == new and rounds > 2 and len(calls) == 1
+    assert {x[:2] for x in rows(edges_)} == e and sorted(rows(m)) == sorted((c, g) for c, gs in held.items() for g in gs)
+
+
 def test_coarsening_and_extraction(spark):
     s = spark.createDataFrame([(1, "ACDEFGHIKLMNPQRSTVWY" * 2), (2, "ACDEFGHIKLMNPQRSTVWY" * 2), (3, "ACDEFGHIKLMNPQRSTVWA" + "ACDEFGHIKLMNPQRSTVWY"), (4, "YYYYYWWWWWVVVVV")], "id int, seq string")
     assert dict(rows(cluster.coarsen(s, (0.99, 0.9)))) == {1: 1, 2: 1, 3: 1, 4: 4}
