@@ -84,7 +84,8 @@ def whole_pieces(rows: DataFrame, identity: float, length_ratio: float, k: int)
         right = " or ".join([f"{at(f'{back} + off')} = ra", *(f"{at(f'{back + h + d} + off')} = rb" for d in (-1, 0, 1))])
         left = " or ".join([f"{at(back - h)} = la", *(f"{at(back - 2 * h + d)} = lb" for d in (-1, 0, 1))])
         fits = fits | F.expr(f"(right and ({right})) or (left and ({left}))")
-    return long.join(short, "seed").where(order & near & (F.col("nb") >= length_ratio * F.col("na")) & fits).select("a", "b").distinct()
+    # seeds are many times the rows that they are estimated by, so neither side is to be broadcast
+    return long.join(short.hint("merge"), "seed").where(order & near & (F.col("nb") >= length_ratio * F.col("na")) & fits).select("a", "b").distinct()
 
 
 def similar(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int | None = 5, dna: bool = False) -> DataFrame:
@@ -103,7 +104,7 @@ def similar(rows: DataFrame, identity: float, length_ratio: float = 0.0, k: int
     else:
         s = seeds(rows, k)
         t = s.unionAll(seeds(rows.select("id", reverse_complement(F.col("seq")).alias("seq")), k)).distinct() if dna else s
-        cand = s.select("seed", F.col("id").alias("a")).join(t.select("seed", F.col("id").alias("b")), "seed").where("a <> b").select("a", "b").distinct()
+        cand = s.select("seed", F.col("id").alias("a")).join(t.select("seed", F.col("id").alias("b")).hint("merge"), "seed").where("a <> b").select("a", "b").distinct()
     x = rows.select(F.col("id").alias("a"), F.col("seq").alias("sa"))
     y = rows.select(F.col("id").alias("b"), F.col("seq").alias("sb"))
     p = cand.join(x, "a").join(y, "b").where((F.length("sa") > F.length("sb")) | ((F.length("sa") == F.length("sb")) & (F.col("a") < F.col("b"))))

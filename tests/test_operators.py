@@ -217,6 +217,14 @@ def test_dna_candidates_are_few_and_hold_every_similar_pair(spark):
     assert cluster.whole_pieces(many, 0.9, 0.9, 9).count() < 500  # some 6000 share a seed alone
 
 
+def test_seeds_are_never_broadcast(spark):
+    r = random.Random(6)
+    df = written(spark.createDataFrame([(i, "".join(r.choices("ACGT", k=96))) for i in range(20)], "id int, seq string"))
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    joins = [x for k in (None, 5) for x in plan(cluster.similar(df, 0.9, 0.9, k, True)).splitlines() if "Join" in x and "seed" in x]
+    assert len(joins) == 2 and all("SortMergeJoin" in x for x in joins)
+
+
 def test_word_edges_need_no_order_of_all_words(spark, tmp_path):
     from lociweave.sources import views as V
 
