@@ -279,6 +279,53 @@ def test_families_equal_rounds_by_hand_and_contract_genomes_once(spark, monkeypa
     assert {x[:2] for x in rows(edges_)} == e and sorted(rows(m)) == sorted((c, g) for c, gs in held.items() for g in gs)
 
 
+def _families_by_hand(held, links, sim, depths):
+    new, e, pairs, held = {c: c for c in held}, set(links), set(sim), {c: set(g) for c, g in held.items()}
+    for depth in depths:
+        while True:
+            next_to = {c: {y for x in e for y in x if c in x} - {c} for c in held}
+            ball = {}
+            for c in held:
+                ball[c] = {c}
+                for _ in range(depth):
+                    ball[c] = ball[c].union(*(next_to[x] for x in ball[c]))
+            centres = {c for c in held if len(next_to[c]) > 2}
+            free = {(a, b) for a, b in pairs if not held[a] & held[b] and ball[a] & ball[b] & centres}
+            if not free:
+                break
+            of = {c: [y for x in free if c in x for y in x if y != c] for x in free for c in x}
+            best = {c: min(near_by, key=lambda y: (-len(held[y]), y)) for c, near_by in of.items()}
+            into = {b: a for a, b in best.items() if best[b] == a and a < b} or dict([min(free)[::-1]])
+            for b, a in into.items():
+                held[a] = held[a] | held.pop(b)
+            moved = lambda xs: {tuple(sorted((into.get(a, a), into.get(b, b)))) for a, b in xs if into.get(a, a) != into.get(b, b)}  # noqa: B023, E731
+            e, pairs, new = moved(e), moved(pairs), {c: into.get(n, n) for c, n in new.items()}
+    return new
+
+
+def test_families_equal_rounds_by_hand_at_every_depth(spark):
+    r = random.Random(14)
+    names = [f"c{i:02}" for i in range(60)]
+    held = {c: set(r.sample(range(4), r.randint(1, 2))) for c in names}
+    links = {("c00", c) for c in names[1:20]} | {(names[i], names[i + r.randint(1, 3)]) for i in range(18, 56)} | {("c56", "c57"), ("c57", "c58"), ("c57", "c59")}
+    sim = {tuple(sorted(r.sample(names, 2))) for _ in range(60)} | {("c58", "c59"), ("c30", "c56")}
+    members = spark.createDataFrame([(c, g) for c, gs in held.items() for g in sorted(gs)], "cluster string, genome int")
+    em = spark.createDataFrame([(a, b, 0) for a, b in sorted(links)], "a string, b string, genome int")
+    assert 0 < correct._hubs(em.select("a", "b"), members, None, 2).count() < len(names)
+    got = dict(rows(correct.collapse_families(members, em, spark.createDataFrame(sorted(sim), "a string, b string"))[2]))
+    want = _families_by_hand(held, links, sim, (1, 2, 3))
+    assert got == want and len({tuple(sorted(_families_by_hand(held, links, sim, d).items())) for d in ((1,), (1, 2), (1, 2, 3))}) == 3
+
+
+def test_registered_families_look_farther_than_one_hop(spark, tmp_path):
+    from lociweave.plans import catalogue
+
+    texts = [("s0", "mid one"), ("s0", "mid two"), ("s1", "mid zebra"), ("s2", "one tree"), ("s3", "two trees")]
+    docs = spark.createDataFrame([(i, t, "en", g, len(t)) for i, (g, t) in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(rows(catalogue.queries()["collapse_families"](spark, str(tmp_path))))["trees"] == "tree"
+
+
 def test_coarsening_and_extraction(spark):
     s = spark.createDataFrame([(1, "ACDEFGHIKLMNPQRSTVWY" * 2), (2, "ACDEFGHIKLMNPQRSTVWY" * 2), (3, "ACDEFGHIKLMNPQRSTVWA" + "ACDEFGHIKLMNPQRSTVWY"), (4, "YYYYYWWWWWVVVVV")], "id int, seq string")
     assert dict(rows(cluster.coarsen(s, (0.99, 0.9)))) == {1: 1, 2: 1, 3: 1, 4: 4}
