@@ -26,6 +26,8 @@ WORDS, SEED, BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints under one signature that a task compares alone; more are cut into blocks of this size.
 BLOCK = 2048
+#: Links that a task holds before it keeps only a forest of them.
+HELD = 1 << 17
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -115,6 +117,14 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= BITS
 
 
+def _fewer(a: list, b: list) -> tuple[list, list]:
+    """Links as they are, or a forest of them once they are many, so that all pairs of two blocks are never held at once."""
+    if sum(map(len, a)) <= HELD:
+        return a, b
+    c, r = forest(np.concatenate(a), np.concatenate(b))
+    return [c], [r]
+
+
 LINKS = "a bigint, b bigint, left binary, right binary"
 
 
@@ -163,9 +173,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(ok):
                 a.append(f[ok])
                 b.append(f[ok + d])
-                if sum(map(len, a)) > 1 << 20:
-                    c, r = forest(np.concatenate(a), np.concatenate(b))
-                    a, b = [c], [r]
+                a, b = _fewer(a, b)
         return _links(a, b, tasks)
 
     for batch in batches:
@@ -187,10 +195,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
             x, y = np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)
             a, b = [], []
-            for i in range(0, len(x), 256):
+            for i in range(0, len(x), 64):
                 p, q = np.nonzero(near(x[i : i + 256, None], y[None, :]))
                 a.append(x[i + p])
                 b.append(y[q])
+                a, b = _fewer(a, b)
             yield _links(a, b, [])
 
 

@@ -734,3 +734,22 @@ def test_stages_take_odd_and_empty_documents(spark, odd, sf):
             if i < 4:
                 assert d.columns == start.columns
         assert d.count() <= 3 * len(ODD)
+
+
+def test_links_of_two_blocks_of_near_copies_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    from lociweave.llm import simhash as S
+
+    pairs = [(1 << i) | (1 << j) for i in range(64) for j in range(i)]
+    fps = np.array(pairs, np.uint64).view(np.int64)  # any two differ in at most four bits
+    block = fps[: S.BLOCK - 64].tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([block], pa.binary())], names=["left", "right"])
+    tracemalloc.start()
+    out = [x for b in S._compare(iter([batch])) for x in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = np.frombuffer(block, np.int64)
+    assert {x for x, _ in out} == set(held.tolist()) - {held.min()} and {y for _, y in out} == {held.min()}
+    assert peak < 150 << 20
