@@ -8,10 +8,13 @@ stripes and row groups by their statistics and Bloom filters.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import public_tokenizers
@@ -20,79 +23,199 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import groups_of, prepared, scratch, table, texts
+from .token_counts import MARKS, byte_alphabet
 
 END_ID = 1
 FILES = "doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>"
 ORC = {"orc.compress": "ZSTD", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 #: Entries in each of the two generations of the chunk cache of a Python worker.
 CACHE = 400_000
+#: Bytes of the longest word that is merged with many others, a power of two; longer ones go to the library.
+LONGEST = 1 << (BITS := 6)
+_LATIN = [chr(b) for b in range(256)]
+_LOWER = "".join(_LATIN).lower().encode("latin-1")
+#: Letters and digits, white space, all else.
+_KINDS = "".join("a" if c.isalpha() or c in "0123456789" else " " if c.isspace() else "!" for c in _LATIN).encode()
 _CONTROL = "\x1c\x1d\x1e\x1f"  # split by str.split, but not white space to the tokenizer
 
 
+class WordMerges:
+    """The byte-level BPE of lower-case words of letters, a merge in each of many words at a time.
+
+    Words are taken by the tokens they have just now, most first: of those with n tokens, every word whose best pair can merge has n - 1
+    afterwards, and joins the words of n - 1 bytes. So a step is a few operations on whole columns, and words in it need no padding.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        left, right, self.made = (np.array(x, np.int32) for x in zip(*[(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], strict=True))
+        self.none, self.vocabulary = len(pairs), max(vocab.values()) + 1
+        self.slots = (4 * len(pairs)).bit_length()
+        self._table(left.astype(np.int64) * self.vocabulary + right)
+        order = sorted((b, c) for c, b in byte_alphabet().items())
+        self.inner, self.last = (np.array([vocab[c + x] for _, c in order], np.int32) for x in ("", end))
+        self.first, self.final = (self._ranks(np.repeat(self.inner, 256), np.tile(x, 256)).reshape(256, 256) for x in (self.inner, self.last))
+
+    def _table(self, codes: np.ndarray) -> None:
+        """An open hash table from pairs to their ranks."""
+        self.keys, self.rank = np.full(1 << self.slots, -1), np.full(1 << self.slots, self.none, np.int32)
+        at, todo = self._slot(codes), np.arange(len(codes))
+        while len(todo):
+            free = todo[self.keys[at[todo]] < 0]
+            self.keys[at[free]] = codes[free]
+            won = free[self.keys[at[free]] == codes[free]]
+            self.rank[at[won]] = won
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            at[todo] = (at[todo] + 1) & (1 << self.slots) - 1
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.slots)).view(np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair among the merges; ``none`` if it isn't there."""
+        codes = left.astype(np.int64) * self.vocabulary + right
+        at = self._slot(codes)
+        key, out = self.keys[at], self.rank[at]
+        todo = np.flatnonzero((key != codes) & (key >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (1 << self.slots) - 1
+            key = self.keys[at[todo]]
+            out[todo] = self.rank[at[todo]]
+            todo = todo[(key != codes[todo]) & (key >= 0)]
+        return out
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of at most LONGEST bytes, none of them empty, as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 16_384):
+            out += self._some(words[i : i + 16_384])
+        return out
+
+    def _some(self, words: list[str]) -> list[bytes]:
+        raw = np.frombuffer("\n".join([*words, ""]).encode(), np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        size = np.diff(ends, prepend=-1) - 1
+        by_size = np.argsort(size, kind="stable")
+        bounds = np.searchsorted(size[by_size], np.arange(size.max() + 2))
+        out = np.empty(len(words), object)
+        which, tokens, ranks = np.zeros(0, np.int64), np.zeros((size.max(), 0), np.int32), np.zeros((size.max() - 1, 0), np.int32)
+        for n in range(size.max(), 0, -1):
+            if len(own := by_size[bounds[n] : bounds[n + 1]]):
+                data = raw[(ends[own] - n) + np.arange(n)[:, None]]
+                fresh = self.inner[data]
+                fresh[-1] = self.last[data[-1]]
+                which, tokens = np.concatenate([which, own]), np.concatenate([tokens, fresh], 1)
+                pairs = self.first[data[:-1], data[1:]]
+                pairs[-1:] = self.final[data[-2:-1], data[-1:]]
+                ranks = np.concatenate([ranks, pairs], 1)
+            best = ((ranks << BITS) + np.arange(n - 1, dtype=np.int32)[:, None]).min(0, initial=self.none << BITS)  # of equal pairs the first
+            ready = best == self.none << BITS
+            if ready.any():
+                out[which[ready]] = np.ascontiguousarray(tokens[:, ready].T.astype("<u4")).view(f"V{4 * n}").ravel().tolist()
+                go = ~ready
+                which, tokens, ranks, best = which[go], tokens[:, go], ranks[:, go], best[go]
+            if n == 1:
+                break
+            at, made, col = best & LONGEST - 1, self.made[best >> BITS], np.arange(len(which))
+            tokens[at, col] = made
+            for i in range(1, n - 1):
+                np.copyto(tokens[i], tokens[i + 1], where=at < i)
+            for i in range(n - 2):
+                np.copyto(ranks[i], ranks[i + 1], where=at <= i)
+            tokens, ranks = tokens[:-1], ranks[:-1]
+            c = np.flatnonzero(at > 0)
+            ranks[at[c] - 1, c] = self._ranks(tokens[at[c] - 1, c], made[c])
+            c = np.flatnonzero(at < n - 2)
+            ranks[at[c], c] = self._ranks(made[c], tokens[at[c] + 1, c])
+        return out.tolist()
+
+
 class ChunkEncoder:
     """The ids of texts, by white-space-separated chunks: this tokenizer's pieces and special strings never span white space."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = WordMerges(path)
+        self.specials = [x.content.lower().encode("latin-1", "replace") for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.bare = Tokenizer.from_file(path)  # the same model for words that are normal already
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._whole([m])[0] for m in ".,"}
 
     def _whole(self, items: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of normal lower-case words of letters alone, by lines: each word is a piece and ends with the only word-end token in it."""
-        out: list[bytes] = []
-        lines = [words[i : i + 100] for i in range(0, len(words), 100)]
-        for part, x in zip(lines, self.bare.encode_batch_fast([" ".join(p) for p in lines], add_special_tokens=False), strict=True):
-            ids = np.array(x.ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            raw = ids.tobytes()
-            out += [raw[4 * x : 4 * y] for x, y in zip([0, *cuts], cuts, strict=False)]
-        return out
-
-    def _learn(self, chunks: set[str]) -> None:
-        young, old, marks = self.young, self.old, self.marks
-        new = chunks.difference(young)
-        kept = new.intersection(old)
-        young.update((c, old[c]) for c in kept)
-        new -= kept
-        stems, ending, other = set(), [], []
-        for c in new:
-            word, mark = (c[:-1], c[-1]) if c[-1] in marks else (c, "")
-            if word.isalpha():
-                low = word.lower() if word.isascii() else word
-                if low == word.lower() and (low.isascii() or unicodedata.is_normalized("NFC", low)):  # nothing left to normalise
-                    stems.add(low)
-                    if c != low:
-                        ending.append((c, low, mark))
-                    continue
-            other.append(c)
-        stems.difference_update(young)
-        words = list(stems)
-        young.update(zip(words, self._words(words), strict=True))
+    def _spaced(self, text: str) -> str:
+        """A text of the same ids with fewer different chunks, in lower case, single points and commas apart from their words; the
+        text itself if it has characters beyond Latin-1 or what may be a special string."""
+        try:
+            low = text.encode("latin-1").translate(_LOWER)
+        except UnicodeEncodeError:
+            return text
+        if any(x in low for x in self.specials):
+            return text
+        if b"!! " not in low.translate(_KINDS):  # else a mark before a blank may be in one piece with the mark before it
+            low = low.replace(b". ", b" . ").replace(b", ", b" , ")
+        return low.decode("latin-1")
+
+    @staticmethod
+    def _normal(c: str, low: str) -> bool:
+        """Whether a chunk that isn't ASCII begins, once normalised, with ``low``, its letters in lower case."""
+        return max(c) <= "\xff" or (c.startswith(low) and unicodedata.is_normalized("NFC", low))
+
+    def _recalled(self, chunks: set[str]) -> set[str]:
+        """Takes chunks over from the old generation; those that aren't there."""
+        kept = set(filter(self.old.__contains__, chunks))
+        self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+        return chunks - kept
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of chunks: a word of letters and the marks after it are a piece each, other chunks go to the library."""
+        young = self.young
+        words, other, parts = set(), set(), []
+        for c in self._recalled(new):
+            low = c.rstrip(MARKS).lower()
+            if low.isalpha() and (c.isascii() or self._normal(c, low)) and (len(low) <= LONGEST // 4 or len(low.encode()) <= LONGEST):
+                words.add(low)
+                if c != low:
+                    tail = c[len(low) :]
+                    parts.append((c, low, tail))
+                    if tail and tail not in young:
+                        other.add(tail)
+            else:
+                other.add(c)
+        words = list(self._recalled(words.difference(young)))
+        young.update(zip(words, self.merges.ids(words), strict=True))
+        other = list(other)
         for i in range(0, len(other), 20_000):
             young.update(zip(other[i : i + 20_000], self._whole(other[i : i + 20_000]), strict=True))
-        young.update((c, young[low] + marks[mark] if mark else young[low]) for c, low, mark in ending)
+        for c, low, tail in parts:
+            young[c] = young[low] + young[tail] if tail else young[low]
 
     def encode(self, items: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         odd = {i for i, x in enumerate(items) if any(c in x for c in _CONTROL)}
-        split = [[] if i in odd else x.split() for i, x in enumerate(items)]
-        self._learn({c for x in split for c in x})
-        get = self.young.__getitem__
-        return [self._whole([x])[0] if i in odd else b"".join(map(get, s)) for i, (x, s) in enumerate(zip(items, split, strict=True))]
+        split = [[] if i in odd else self._spaced(x).split() for i, x in enumerate(items)]
+        get = self.young.get
+        found = [list(map(get, s)) for s in split]
+        gaps = [list(compress(range(len(x)), map(not_, x))) for x in found]
+        new: set[str] = set()
+        for s, at in zip(split, gaps, strict=True):
+            new.update(map(s.__getitem__, at))
+        self._learn(new)
+        for k, (s, x, at) in enumerate(zip(split, found, gaps, strict=True)):
+            if 4 * len(at) > len(s):
+                found[k] = map(get, s)
+            else:
+                for i in at:
+                    x[i] = get(s[i])
+        return [self._whole([items[i]])[0] if i in odd else b"".join(x) for i, x in enumerate(found)]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

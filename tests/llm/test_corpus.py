@@ -688,6 +688,37 @@ def test_chunked_ids_equal_the_library():
         assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_words_merged_together_equal_the_library():
+    whole = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
+    r, most = random.Random(6), token_file.LONGEST
+    words = ["".join(r.choice("etaoinshr" if r.random() < 0.5 else "abcdefghijklmnopqrstuvwxyzéñßüçøþµºжλ語") for _ in range(r.randint(1, 16))) for _ in range(20_000)]
+    words = list(dict.fromkeys(words + ["a" * k for k in range(1, most + 1)] + ["ab" * k for k in range(1, most // 2 + 1)] + ["日本語" * k for k in range(1, most // 9 + 1)]))
+    for got, w in zip(token_file.WordMerges(path).ids(words), words, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == whole.encode(w, add_special_tokens=False).ids, w
+    for w in ("z", "é"):  # alone, and all of one length
+        assert np.frombuffer(token_file.WordMerges(path).ids([w])[0], "<u4").tolist() == whole.encode(w, add_special_tokens=False).ids
+
+
+def test_ids_of_marks_capitals_and_special_strings_equal_the_library():
+    whole = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
+    enc, r = token_file.ChunkEncoder(path), random.Random(7)
+    parts = ["Élan", "ÀÞß", "word", "IT'S", "don't", "'", ".", ",", "!", "$$$", "#", "(", "42", "²", "½", "ª", "×", "÷", "\xad", "\xb7", "\x00", "<|endoftext|>", "<|STARTOFTEXT|>", "<|", "|>", "K", "Å", "ж", "Σ", "a" * 70, "语" * 30]
+    for n in range(3000):
+        some = r.sample(parts[: 19 if n % 2 else len(parts)], 5)
+        t = "".join(r.choice(some) + r.choice(["", "", " ", " ", "  ", "\n", "\xa0", "\x85", "\x1f" if n % 9 == 0 else ""]) for _ in range(r.randint(1, 15)))
+        assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_new_words_are_not_given_to_the_library():
+    enc, r = token_file.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(8)
+    syllables = ["an", "Él", "io", "tü", "sh", "ço", "RE"]
+    text = " ".join("".join(r.choice(syllables) for _ in range(6)) + r.choice(["", ".", ",", "###", "!!", "$$$"]) for _ in range(20_000))
+    given, whole = [], enc._whole
+    enc._whole = lambda items: given.extend(items) or whole(items)
+    assert enc.encode([text])[0] == whole([text])[0]
+    assert len(given) <= 5 and max(map(len, given), default=0) <= 3  # runs of marks
+
+
 # all
 
 
