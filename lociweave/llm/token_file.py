@@ -13,8 +13,6 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import public_tokenizers
@@ -28,7 +26,7 @@ from .token_counts import MARKS, byte_alphabet
 END_ID = 1
 FILES = "doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>"
 ORC = {"orc.compress": "ZSTD", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
-#: Entries in each of the two generations of the chunk cache of a Python worker.
+#: Chunks in a Python worker's table, and in each of the two generations of its cache for texts beyond Latin-1.
 CACHE = 400_000
 #: Bytes of the longest word that is merged with many others, a power of two; longer ones go to the library.
 LONGEST = 1 << (BITS := 6)
@@ -36,6 +34,10 @@ _LATIN = [chr(b) for b in range(256)]
 _LOWER = "".join(_LATIN).lower().encode("latin-1")
 #: Letters and digits, white space, all else.
 _KINDS = "".join("a" if c.isalpha() or c in "0123456789" else " " if c.isspace() else "!" for c in _LATIN).encode()
+_SPACES = bytes(c.isspace() for c in _LATIN)
+#: Bytes of the longest chunk in the table of chunks: three integers, but for the length.
+SHORT = 23
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _CONTROL = "\x1c\x1d\x1e\x1f"  # split by str.split, but not white space to the tokenizer
 
 
@@ -133,6 +135,87 @@ class WordMerges:
         return out.tolist()
 
 
+class ChunkTable:
+    """Ids of short Latin-1 chunks, looked up many at a time: an open hash table whose keys are the chunks' bytes and lengths themselves."""
+
+    def __init__(self):
+        self.slots = (2 * CACHE).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all chunks. Row 0 is that of a free slot."""
+        self.table = np.zeros((1 << self.slots, 4), np.uint64)
+        self.rows, self.used = 1, 0
+        self.at, self.size, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    def keys(self, raw: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Bytes and length of each chunk of at most SHORT bytes, in three integers; raw goes on for SHORT + 1 bytes after the last."""
+        out = np.empty((3, len(starts)), np.uint64)
+        for lo in range(0, len(raw), 1 << 19):  # all runs of eight bytes of a part of the text at once
+            a, b = np.searchsorted(starts, [lo, lo + (1 << 19)])
+            if a < b:
+                runs = np.ndarray((min(len(raw) - lo, (1 << 19) + SHORT + 1) - 7,), "<u8", raw, lo, (1,)).astype(np.uint64)
+                for i in range(3):
+                    out[i, a:b] = runs[starts[a:b] - lo + 8 * i] & _MASKS[np.clip(size[a:b] - 8 * i, 0, 8)]
+        out[2] |= size.astype(np.uint64) << np.uint64(56)
+        return out
+
+    @staticmethod
+    def _hash(keys: np.ndarray) -> np.ndarray:
+        h = keys[0] * np.uint64(0x9E3779B97F4A7C15) + keys[1] * np.uint64(0xC2B2AE3D27D4EB4F) + keys[2] * np.uint64(0x165667B19E3779F9)
+        return (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (self._hash(keys) >> np.uint64(64 - self.slots)).view(np.int64)
+
+    def distinct(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each different key is, and for each key which of them it is."""
+        h = self._hash(keys)
+        order = np.argsort(h, kind="stable")
+        new = np.diff(h[order], prepend=~h[order[:1]]) != 0
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
+        fresh = order[new]
+        if (keys != keys[:, fresh[which]]).any():  # two keys of one hash
+            _, fresh, which = np.unique(keys, axis=1, return_index=True, return_inverse=True)
+        return fresh, which.reshape(-1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of chunks, 0 for those not in the table."""
+        at, out, todo = self._slot(keys), np.zeros(keys.shape[1], np.int64), np.arange(keys.shape[1])
+        while len(todo):
+            got = self.table.take(at, 0)
+            same = (got[:, 0] == keys[0]) & (got[:, 1] == keys[1]) & (got[:, 2] == keys[2]) & (got[:, 3] > 0)
+            out[todo[same]] = got[same, 3].view(np.int64)
+            on = np.flatnonzero(~same & (got[:, 3] > 0))
+            todo, keys, at = todo[on], keys[:, on], at[on] + 1 & (1 << self.slots) - 1
+        return out
+
+    def put(self, rows: np.ndarray, keys: np.ndarray) -> None:
+        """Enters different chunks that are not in the table."""
+        self.used += len(rows)
+        at = self._slot(keys)
+        while len(rows):
+            free = np.flatnonzero(self.table[at, 3] == 0)
+            self.table[at[free], 3] = rows[free]
+            won = self.table[at, 3].view(np.int64) == rows
+            self.table[at[won], :3] = keys[:, won].T
+            rows, keys, at = rows[~won], keys[:, ~won], at[~won] + 1 & (1 << self.slots) - 1
+
+    def add(self, ids: list[bytes]) -> np.ndarray:
+        """New rows with these ids."""
+        size, rows = np.array([len(x) // 4 for x in ids], np.int64), self.rows + np.arange(len(ids))
+        end = self.at[self.rows - 1] + self.size[self.rows - 1]
+        self.rows += len(ids)
+        if self.rows > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros(self.rows, np.int64)]) for x in (self.at, self.size))
+        self.at[rows], self.size[rows] = end + np.cumsum(size) - size, size
+        if (most := end + size.sum()) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(most, np.uint32)])
+        self.flat[end:most] = np.frombuffer(b"".join(ids), "<u4")
+        return rows
+
+
 class ChunkEncoder:
     """The ids of texts, by white-space-separated chunks: this tokenizer's pieces and special strings never span white space."""
 
@@ -141,7 +224,7 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = WordMerges(path)
+        self.merges, self.table = WordMerges(path), ChunkTable()
         self.specials = [x.content.lower().encode("latin-1", "replace") for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -149,35 +232,60 @@ class ChunkEncoder:
     def _whole(self, items: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
-    def _spaced(self, text: str) -> str:
-        """A text of the same ids with fewer different chunks, in lower case, single points and commas apart from their words; the
-        text itself if it has characters beyond Latin-1 or what may be a special string."""
+    def _spaced(self, text: str) -> bytes | None:
+        """A text of the same ids with fewer different chunks, in lower case, single points and commas apart from their words;
+        None if it has characters beyond Latin-1 or what may be a special string."""
         try:
             low = text.encode("latin-1").translate(_LOWER)
         except UnicodeEncodeError:
-            return text
+            return None
         if any(x in low for x in self.specials):
-            return text
+            return None
         if b"!! " not in low.translate(_KINDS):  # else a mark before a blank may be in one piece with the mark before it
             low = low.replace(b". ", b" . ").replace(b", ", b" , ")
-        return low.decode("latin-1")
+        return low
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of Latin-1 texts in lower case, without special strings."""
+        t = self.table
+        if t.rows > CACHE:
+            t.clear()
+        raw = b"\n".join(texts) + b" " * (SHORT + 9)
+        edges = np.flatnonzero(np.diff(np.frombuffer(raw.translate(_SPACES), np.bool_), prepend=True))
+        starts, size = edges[::2], edges[1::2] - edges[::2]
+        short, long = np.flatnonzero(size <= SHORT), np.flatnonzero(size > SHORT)
+        keys = t.keys(raw, starts[short], size[short])
+        found = t.find(keys)
+        gaps = np.flatnonzero(found == 0)
+        fresh, which = t.distinct(keys[:, gaps])
+        new = gaps[fresh]
+        at = np.concatenate([short[new], long])
+        chunks = [raw[a:b].decode("latin-1") for a, b in zip(starts[at].tolist(), (starts + size)[at].tolist(), strict=True)]
+        self._learn(set(chunks), known := {}, {})  # only the table keeps them
+        added = t.add([known[c] for c in chunks])
+        found[gaps] = added[which]
+        rows = np.zeros(len(starts), np.int64)
+        rows[short], rows[long] = found, added[len(new) :]
+        if t.used + len(new) < 1 << t.slots - 1:
+            t.put(added[: len(new)], keys[:, new])
+        n = t.size[rows]
+        ends = np.cumsum(n)
+        ids = t.flat[np.repeat(t.at[rows] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4").tobytes()
+        offsets = np.cumsum([0, *[len(x) + 1 for x in texts]])
+        cuts = (4 * np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     @staticmethod
     def _normal(c: str, low: str) -> bool:
         """Whether a chunk that isn't ASCII begins, once normalised, with ``low``, its letters in lower case."""
         return max(c) <= "\xff" or (c.startswith(low) and unicodedata.is_normalized("NFC", low))
 
-    def _recalled(self, chunks: set[str]) -> set[str]:
-        """Takes chunks over from the old generation; those that aren't there."""
-        kept = set(filter(self.old.__contains__, chunks))
-        self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
-        return chunks - kept
-
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: set[str], young: dict[str, bytes], old: dict[str, bytes]) -> None:
         """Ids of chunks: a word of letters and the marks after it are a piece each, other chunks go to the library."""
-        young = self.young
+        kept = set(filter(old.__contains__, new))
+        young.update(zip(kept, map(old.__getitem__, kept), strict=True))
         words, other, parts = set(), set(), []
-        for c in self._recalled(new):
+        for c in new - kept:
             low = c.rstrip(MARKS).lower()
             if low.isalpha() and (c.isascii() or self._normal(c, low)) and (len(low) <= LONGEST // 4 or len(low.encode()) <= LONGEST):
                 words.add(low)
@@ -188,7 +296,7 @@ class ChunkEncoder:
                         other.add(tail)
             else:
                 other.add(c)
-        words = list(self._recalled(words.difference(young)))
+        words = list(words.difference(young))
         young.update(zip(words, self.merges.ids(words), strict=True))
         other = list(other)
         for i in range(0, len(other), 20_000):
@@ -196,26 +304,24 @@ class ChunkEncoder:
         for c, low, tail in parts:
             young[c] = young[low] + young[tail] if tail else young[low]
 
+    def _apart(self, items: list[str]) -> list[bytes]:
+        """Ids of texts with any characters but those of _CONTROL."""
+        split = [x.split() for x in items]
+        self._learn({c for s in split for c in s}.difference(self.young), self.young, self.old)
+        get = self.young.__getitem__
+        return [b"".join(map(get, s)) for s in split]
+
     def encode(self, items: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         odd = {i for i, x in enumerate(items) if any(c in x for c in _CONTROL)}
-        split = [[] if i in odd else self._spaced(x).split() for i, x in enumerate(items)]
-        get = self.young.get
-        found = [list(map(get, s)) for s in split]
-        gaps = [list(compress(range(len(x)), map(not_, x))) for x in found]
-        new: set[str] = set()
-        for s, at in zip(split, gaps, strict=True):
-            new.update(map(s.__getitem__, at))
-        self._learn(new)
-        for k, (s, x, at) in enumerate(zip(split, found, gaps, strict=True)):
-            if 4 * len(at) > len(s):
-                found[k] = map(get, s)
-            else:
-                for i in at:
-                    x[i] = get(s[i])
-        return [self._whole([items[i]])[0] if i in odd else b"".join(x) for i, x in enumerate(found)]
+        low = {i: y for i, x in enumerate(items) if i not in odd and (y := self._spaced(x)) is not None}
+        rest = [i for i in range(len(items)) if i not in odd and i not in low]
+        out = {i: self._whole([items[i]])[0] for i in odd}
+        out.update(zip(low, self._together(list(low.values())), strict=True))
+        out.update(zip(rest, self._apart([items[i] for i in rest]), strict=True))
+        return [out[i] for i in range(len(items))]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -709,6 +709,16 @@ def test_ids_of_marks_capitals_and_special_strings_equal_the_library():
         assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_chunks_of_one_hash_and_a_full_table_keep_their_ids(monkeypatch):
+    whole = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(token_file.ChunkTable, "_hash", staticmethod(lambda keys: keys[2] & np.uint64(3) | np.uint64(5 << 60)))
+    monkeypatch.setattr(token_file, "CACHE", 150)
+    enc, r = token_file.ChunkEncoder(path), random.Random(9)
+    for _ in range(60):
+        items = [" ".join("".join(r.choice("abé\x00,") for _ in range(r.choice([1, 2, 3, 8, 9, 22, 23, 24, 30]))) for _ in range(20)) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(items)] == [whole.encode(t, add_special_tokens=False).ids for t in items]
+
+
 def test_new_words_are_not_given_to_the_library():
     enc, r = token_file.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(8)
     syllables = ["an", "Él", "io", "tü", "sh", "ço", "RE"]
